@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import (
     IDF,
@@ -43,7 +43,7 @@ class TermFeatures:
             inputCol="counts", outputCol="_scaled", scalingVec=DenseVector(idf.idf.toArray() + 1.0)
         )
         norm = Normalizer(inputCol="_scaled", outputCol="features", p=2.0)
-        self._model = Pipeline(stages=[counter, scale, norm]).fit(words.limit(1))
+        self._model = PipelineModel([counter, scale, norm])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -59,3 +59,16 @@ def attach(
     elif how != "left":
         raise ValueError("attach supports left and inner joins")
     return out.select(*df.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
+
+
+def attach_rows(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``attach`` for dimensions with a few rows per key (an article and its topics).
+
+    The rows of a key travel as one array and are unfolded afterwards, so a key with n facts gives n
+    rows, exactly as in a plain join.
+    """
+    values = [c for c in facts.columns if c not in keys]
+    folded = facts.groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("_facts"))
+    out = attach(df, folded, keys, how)
+    unfold = F.inline_outer if how == "left" else F.inline
+    return out.select(*df.columns, unfold("_facts"))
