@@ -6,7 +6,7 @@ window sweeps: two formulations of one definition.
 
 from __future__ import annotations
 
-from linkloom.defaults import AUTO_CLOSE, PUBLIC_SUFFIXES, PUNCTUATION, RAW_TAGS, VOID_TAGS
+from linkloom.defaults import AUTO_CLOSE, ENTITIES, PUBLIC_SUFFIXES, PUNCTUATION, RAW_TAGS, VOID_TAGS
 
 TOKEN = (
     r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
@@ -42,8 +42,8 @@ def domain(h: str, s: str) -> str:
 
 def title(link: str) -> str:
     last = f"url_decode(split_part(split_part({link}, '/', -1), '#', 1))"
-    # upper() of DuckDB leaves the sharp s alone.
-    first = f"replace(upper(trim({last})[1:1]), 'ß', 'SS')"
+    # upper() of DuckDB keeps the sharp s one letter.
+    first = f"replace(replace(upper(trim({last})[1:1]), 'ß', 'SS'), 'ẞ', 'SS')"
     return f"replace({first} || trim({last})[2:], '_', ' ')"
 
 
@@ -134,7 +134,9 @@ UPS = """
 
 
 def decoded(text: str) -> str:
-    return f"replace(replace(replace({text}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    for name, char in ENTITIES.items():
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
 
 
 def text_between(page: str, start: str, stop: str) -> str:
