@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linkloom.defaults import BREAK, BREAK_LOWER, ENTITIES, INLINE_TAGS, PUNCTUATION, WORD
-from linkloom.functions.urls import _col
+from linkloom.functions.urls import _col, once
 
 
 def is_reference_header(text: Column | str) -> Column:
@@ -96,9 +96,14 @@ def ngrams(words: Column, n: int) -> Column:
     """Contiguous n-grams of an array of words, joined by a blank."""
     if n == 1:
         return words
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+
+    def shifted(w: Column) -> Column:
+        # Position i of the zip holds words i .. i + n - 1; the incomplete ones at the end are cut.
+        columns = F.arrays_zip(*[F.slice(w, k, F.size(w)).alias(f"w{k}") for k in range(1, n + 1)])
+        whole = F.slice(columns, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        return F.transform(whole, lambda z: F.concat_ws(" ", *[z.getField(f"w{k}") for k in range(1, n + 1)]))
+
+    return once(words, shifted)
 
 
 def decode_list_text(c: Column | str, separator: str = ", ") -> Column:
@@ -122,7 +127,6 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_numeric(c: Column) -> Column:
-    parts = F.split(c, r"&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)")
 
     def piece(p: Column) -> Column:
         code = F.substring_index(p, ";", 1)
@@ -131,14 +135,20 @@ def _decode_numeric(c: Column) -> Column:
         ).otherwise(code.try_cast("bigint"))
         return F.concat(_code_point(number), F.substr(p, F.length(code) + 2))
 
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+    return once(F.split(c, r"&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)"), joined)
 
 
 def decode_entities(c: Column | str, named: dict[str, str] = ENTITIES) -> Column:
     """Named entities by table, numeric ones by rule; text without ``&`` is passed through."""
-    c = _col(c)
-    out = F.when(F.contains(c, F.lit("&#")), _decode_numeric(c)).otherwise(c)
-    for name, char in named.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+    def decode(x: Column) -> Column:
+        out = F.when(F.contains(x, F.lit("&#")), _decode_numeric(x)).otherwise(x)
+        for name, char in named.items():
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(x, F.lit("&")), out).otherwise(x)
+
+    return once(_col(c), decode)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` a single time and hand it to ``body``, however often that mentions it.
+
+    Inside lambdas and branches Spark does not share equal subexpressions, so a regular expression
+    used three times there would run three times.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_links(text: Column | str, pattern: str, group: int = 1) -> Column:
     """All matches of ``pattern`` in raw text, as an array."""
     return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
@@ -74,10 +83,12 @@ def host(url: Column | str) -> Column:
 
 def host_endings(h: Column | str) -> Column:
     """All endings of a host, longest first: ``a.b.c`` gives ``[a.b.c, b.c, c]``."""
-    labels = F.split(_col(h), r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    return once(
+        F.split(_col(h), r"\."),
+        lambda labels: F.transform(
+            F.sequence(F.lit(1), F.size(labels)),
+            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        ),
     )
 
 
@@ -101,15 +112,17 @@ def domain_of(h: Column | str, suffix: Column) -> Column:
 
 
 def registered_domain(h: Column | str, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    return domain_of(h, public_suffix(h, suffixes))
+    return once(_col(h), lambda x: once(public_suffix(x, suffixes), lambda s: domain_of(x, s)))
 
 
 def full_host(h: Column | str, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
     """Subdomain and registered domain; a one-letter subdomain such as ``m`` is cut."""
     h = _col(h)
-    domain = registered_domain(h, suffixes)
-    sub_length = F.length(h) - F.length(domain) - 1
-    return F.when((domain != "") & (sub_length > 1), h).otherwise(domain)
+    sub_length = lambda domain: F.length(h) - F.length(domain) - 1
+    return once(
+        registered_domain(h, suffixes),
+        lambda domain: F.when((domain != "") & (sub_length(domain) > 1), h).otherwise(domain),
+    )
 
 
 def is_wiki(url: Column | str) -> Column:

@@ -40,12 +40,23 @@ from linkloom.defaults import (
     VOID_TAGS,
 )
 from linkloom.functions.text import context_window, decode_entities
+from linkloom.functions.urls import once
 
 PAGE_END = 2**31 - 1
 _BEFORE = (W.unboundedPreceding, -1)
 _UP_TO = (W.unboundedPreceding, 0)
 
 
+def by_page(pages: DataFrame, key: str) -> DataFrame:
+    """Pages hashed by key into ``spark.sql.shuffle.partitions`` parts.
+
+    The number is given explicitly because adaptive execution would merge parts by their compressed
+    size here, while everything after this shuffle works on tokens that are many times larger.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, key)
+
+
 # --- tokens ------------------------------------------------------------------------------------
 def token_array(html: Column | str) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
@@ -69,8 +80,9 @@ def token_kind(tok: Column, tag: Column) -> Column:
 def attribute(tok: Column | str, name: str) -> Column:
     """Value of an attribute in an opening tag, quoted or not; NULL where it is absent."""
     tok = F.col(tok) if isinstance(tok, str) else tok
-    value = F.regexp_extract(tok, rf"(?is)^<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    return F.when(value != "", decode_entities(F.regexp_replace(value, "^[\"']|[\"']$", "")))
+    # Most tags have no attributes at all: do not run the pattern on those.
+    value = F.when(F.contains(tok, F.lit("=")), F.regexp_extract(tok, rf"(?is)^<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1))
+    return once(value, lambda v: F.when(v != "", decode_entities(F.regexp_replace(v, "^[\"']|[\"']$", ""))))
 
 
 def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -101,7 +113,7 @@ def html_elements(
     """
     tok = F.col("tok")
     rows = (
-        html_tokens(pages.repartition(key), key, html)
+        html_tokens(by_page(pages, key), key, html)
         .filter(F.col("kind").isin("open", "close", "void"))
         .select(
             key,
@@ -175,8 +187,8 @@ def html_elements(
     loose_end = F.least(F.lit(PAGE_END), F.col("ctx_end"), *cuts)
     close_pos = F.when(role == "start", F.col("ctx_end")).when(F.col("kind") == "void", pos).otherwise(loose_end)
     # Each element once: a paired one by its own level, the others by their child row.
-    once = (role == "start") | ((role == "child") & ~F.col("paired"))
-    return rows.filter(once).select(key, "pos", close_pos.cast("int").alias("close_pos"), "tag", "href", "cls", "eid")
+    single = (role == "start") | ((role == "child") & ~F.col("paired"))
+    return rows.filter(single).select(key, "pos", close_pos.cast("int").alias("close_pos"), "tag", "href", "cls", "eid")
 
 
 def region_predicates(
@@ -256,7 +268,7 @@ def parent_tags(elements: DataFrame, wanted: Column, key: str = "page_id") -> Da
 # --- text and markup of elements ---------------------------------------------------------------
 def with_page_tokens(df: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Put the page's token array beside its elements; both sides are partitioned by page already."""
-    toks = pages.repartition(key).select(key, token_array(html).alias("toks"))
+    toks = by_page(pages, key).select(key, token_array(html).alias("toks"))
     return df.join(toks.hint("merge"), key)
 
 
@@ -405,7 +417,7 @@ def neighbour_links(
     """For each matching link a control: the next or the previous anchor of the page, by a seeded coin."""
     tok = F.col("tok")
     anchors = (
-        html_tokens(pages.repartition(key), key, html)
+        html_tokens(by_page(pages, key), key, html)
         .filter((F.col("tag") == "a") & (F.col("kind") != "close"))
         .select(key, "pos", attribute(tok, "href").alias("href"))
     )

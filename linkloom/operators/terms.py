@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkloom.defaults import WORD
 from linkloom.functions.text import ngrams, tokens
+from linkloom.functions.urls import once
 from linkloom.operators.aggregates import normalise, shannon_entropy
 from linkloom.operators.sampling import sample_fraction, sample_per_group
 from linkloom.operators.skew import attach
@@ -29,7 +30,7 @@ def terms_of(text: str, stop_words: Sequence[str] = (), ngram_range: tuple[int,
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     low, high = ngram_range
-    return F.concat(*[ngrams(words, n) for n in range(low, high + 1)])
+    return once(words, lambda w: F.concat(*[ngrams(w, n) for n in range(low, high + 1)]))
 
 
 def term_counts(
@@ -72,21 +73,34 @@ def bag_of_words(
     return counts.join(words, "term", "left_semi").select(*counts.columns)
 
 
-def tf_idf(counts: DataFrame, ids: Sequence[str], n_units: Column | None = None) -> DataFrame:
+def tf_idf(counts: DataFrame, ids: Sequence[str], n_units: Column) -> DataFrame:
     """``ids, term, weight``: ``n * (ln((1 + N) / (1 + df)) + 1)``, then unit length per document.
 
-    ``counts`` is ``ids, term, n``; ``n_units`` is N where documents without any term count as well.
+    ``counts`` is ``ids, term, n``, unique in ``(ids, term)``; ``n_units`` is N, documents without any
+    term included. The rows of a unit meet in one window: the distinct terms of one
+    text, or the capped vocabulary of a class.
     """
-    if n_units is None:
-        n_units = counts.select(*ids).distinct().agg(F.count("*")).scalar()
-    per_term = counts.groupBy("term").agg(F.count("*").alias("_df"))
+    # The condition keeps n in the plan, so that this aggregate reads the very shuffle that feeds the
+    # join below instead of counting the words of all texts once more.
+    per_term = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("_df"))
     # The document frequency is also the number of rows per term: common words are the hot keys.
     weighed = attach(counts, per_term, ["term"], weight="_df").withColumn(
         "_w", F.col("n") * (F.ln((1 + n_units) / (1 + F.col("_df"))) + 1)
     )
-    norms = weighed.groupBy(*ids).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"), F.count("*").alias("_rows"))
-    out = attach(weighed, norms, ids, weight="_rows")
-    return out.select(*ids, "term", F.try_divide("_w", "_norm").alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*ids)))
+    return weighed.select(*ids, "term", F.try_divide(F.col("_w"), norm).alias("weight"))
+
+
+def document_tf_idf(
+    df: DataFrame,
+    ids: Sequence[str],
+    text: str,
+    stop_words: Sequence[str] = (),
+    ngram_range: tuple[int, int] = (1, 1),
+    vocabulary: DataFrame | None = None,
+) -> DataFrame:
+    counts = term_counts(df, ids, text, stop_words, ngram_range, vocabulary)
+    return tf_idf(counts, ids, df.agg(F.count("*")).scalar())
 
 
 def class_tf_idf(
@@ -94,15 +108,15 @@ def class_tf_idf(
     cls: str,
     text: str,
     ngram_range: tuple[int, int] = (1, 2),
-    max_features: int | None = 20_000,
+    max_features: int = 20_000,
     stop_words: Sequence[str] = (),
 ) -> DataFrame:
     """TF-IDF with all texts of a class as one document; the class text itself is never built."""
-    counts = term_counts(df.filter(F.col(cls).isNotNull()), [cls], text, stop_words, ngram_range)
-    if max_features is not None:
-        words = F.broadcast(top_vocabulary(counts, max_features).select("term"))
-        counts = counts.join(words, "term", "left_semi").select(cls, "term", "n")
-    return tf_idf(counts, [cls])
+    df = df.filter(F.col(cls).isNotNull())
+    counts = term_counts(df, [cls], text, stop_words, ngram_range)
+    words = F.broadcast(top_vocabulary(counts, max_features).select("term"))
+    counts = counts.join(words, "term", "left_semi").select(cls, "term", "n")
+    return tf_idf(counts, [cls], df.agg(F.count_distinct(cls)).scalar())
 
 
 def top_terms(weights: DataFrame, cls: str, k: int = 20, value: str = "weight") -> DataFrame:
@@ -182,7 +196,7 @@ def text_cosine(df: DataFrame, ids: Sequence[str], a: str, b: str) -> DataFrame:
     both = df.select(*ids, F.explode(F.array(F.struct(F.lit("a").alias("_side"), F.col(a).alias("_t")),
                                             F.struct(F.lit("b").alias("_side"), F.col(b).alias("_t")))).alias("s"))
     both = both.select(*ids, "s._side", "s._t")
-    w = tf_idf(term_counts(both, [*ids, "_side"], "_t"), [*ids, "_side"])
+    w = document_tf_idf(both, [*ids, "_side"], "_t")
     per_term = w.groupBy(*ids, "term").agg(
         F.sum(F.when(F.col("_side") == "a", F.col("weight"))).alias("wa"),
         F.sum(F.when(F.col("_side") == "b", F.col("weight"))).alias("wb"),

@@ -97,3 +97,12 @@ def read_named_csv(
 def sql_view(df: DataFrame, name: str, sql: str) -> DataFrame:
     df.createOrReplaceTempView(name)
     return df.sparkSession.sql(sql)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan that has fewer splits than cores (one small file).
+
+    On a cluster, where scans have far more splits than cores, the frame comes back unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -197,10 +197,11 @@ def hash_number(h: str) -> str:
     return f"('0x' || substr({h}, 1, 8))::BIGINT"
 
 
-def tf_idf(source: str, unit: str, out: str = "weights") -> str:
+def tf_idf(source: str, unit: str, out: str = "weights", n: str = "") -> str:
     """``out(unit, term, weight)`` from ``source(unit, term, n)``."""
+    n = n or f"(SELECT count(DISTINCT {unit}) FROM {source})"
     return f"""
-    {out}_n AS (SELECT count(DISTINCT {unit}) AS nn FROM {source}),
+    {out}_n AS (SELECT {n} AS nn),
     {out}_df AS (SELECT term, count(*) AS df FROM {source} GROUP BY term),
     {out}_w AS (SELECT s.{unit}, s.term, s.n * (ln((1 + nn) / (1 + df)::DOUBLE) + 1) AS w
         FROM {source} s JOIN {out}_df USING (term) CROSS JOIN {out}_n),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import learning as L
 from linkloom.operators import sampling as S
 from linkloom.operators import terms as K
+from linkloom.sources.readers import spread
 from queries.registry import Tables, query, rnd
 from queries.sqlparts import hash_number, quoted, sample_hash, tf_idf, words
 
@@ -14,7 +15,7 @@ STOP = ["the", "and", "of", "to", "in", "que", "der", "die", "und", "la", "de"]
 
 
 def docs(t: Tables):
-    return t("documents").select("doc_id", "text", "lang", "source")
+    return spread(t("documents").select("doc_id", "text", "lang", "source"))
 
 
 def counts_sql(unit: str, source: str = "documents", stop=(), text: str = "text") -> str:
@@ -33,24 +34,22 @@ def k1(t):
 
 @query(
     "k2_tf_idf",
-    f"WITH c AS ({counts_sql('doc_id')}), {tf_idf('c', 'doc_id')} SELECT doc_id, term, round(weight, 6) + 0.0 AS weight FROM weights",
+    f"WITH c AS ({counts_sql('doc_id')}), {tf_idf('c', 'doc_id', n='(SELECT count(*) FROM documents)')} SELECT doc_id, term, round(weight, 6) + 0.0 AS weight FROM weights",
 )
 def k2(t):
-    w = K.tf_idf(K.term_counts(docs(t), ["doc_id"], "text"), ["doc_id"])
-    return w.withColumn("weight", rnd("weight"))
+    return K.document_tf_idf(docs(t), ["doc_id"], "text").withColumn("weight", rnd("weight"))
 
 
 @query(
     "k2_tf_idf_vocabulary",
     f"WITH voc AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT unnest(['the', 'and', 'que', 'der'])), "
-    f"c0 AS ({counts_sql('doc_id')}), c AS (SELECT * FROM c0 SEMI JOIN voc USING (term)), {tf_idf('c', 'doc_id')} "
+    f"c0 AS ({counts_sql('doc_id')}), c AS (SELECT * FROM c0 SEMI JOIN voc USING (term)), {tf_idf('c', 'doc_id', n='(SELECT count(*) FROM documents)')} "
     "SELECT doc_id, term, round(weight, 6) + 0.0 AS weight FROM weights",
 )
 def k2b(t):
     extra = t.spark.createDataFrame([("The",), ("and",), ("que",), ("der",)], "term string")
     vocabulary = t("part").select(F.lower("p_type").alias("term")).unionByName(extra)
-    counts = K.term_counts(docs(t), ["doc_id"], "text", vocabulary=vocabulary)
-    return K.tf_idf(counts, ["doc_id"]).withColumn("weight", rnd("weight"))
+    return K.document_tf_idf(docs(t), ["doc_id"], "text", vocabulary=vocabulary).withColumn("weight", rnd("weight"))
 
 
 CLASS_COUNTS = (
@@ -103,7 +102,7 @@ def k5b(t):
 
 
 def labelled(t):
-    both = t("documents").select("doc_id", "text", "lang").join(t("labels"), "doc_id")
+    both = docs(t).select("doc_id", "text", "lang").join(t("labels"), "doc_id")
     return S.train_test_split(both, ["doc_id"])
 
 
@@ -193,7 +192,7 @@ def k10(t):
 TEXT_PAIRS = (
     "pr AS (SELECT a.conv_id, a.turn, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1), "
     "u AS (SELECT conv_id || '/' || turn || '/a' AS unit, a AS text FROM pr UNION ALL SELECT conv_id || '/' || turn || '/b', b FROM pr), "
-    f"c AS ({counts_sql('unit', 'u')}), {tf_idf('c', 'unit')}"
+    f"c AS ({counts_sql('unit', 'u')}), {tf_idf('c', 'unit', n='(SELECT count(*) FROM u)')}"
 )
 
 
