@@ -108,7 +108,8 @@ def coding_dataset(
     web = S.sample_fraction(web, prop, ids, seed).withColumn("text", H.fragment_text("text1"))
     if profiles is not None:
         web = K.detect_language(web, ids, "text", profiles, name="lang").filter(F.col("lang") == language)
-    web = web.join(url_counts, "url")
+    # From here on the sample feeds counts of hot keys as well as the joins: keep it once.
+    web = cut_lineage(web.join(url_counts, "url"))
     web = attach(web, ranks, ["domain"])
     web = attach_rows(web, articles.distinct(), ["title"])
     web = attach_rows(web, categories.distinct(), ["domain"])
@@ -123,7 +124,7 @@ def order_labels(
     """Features with the region label, the site, and the links per site."""
     found = H.page_order(H.link_features(pages, pattern, key, **features)).join(pages.select(key, "url"), key)
     found = found.withColumn("domain", U.full_host(U.host("url"), suffixes))
-    return N.group_count(found, ["domain"], "url", "domain_count")
+    return N.group_count(cut_lineage(found), ["domain"], "url", "domain_count")
 
 
 def order_entropy(links: DataFrame, order: str, link: str, seed: str | int = 0) -> DataFrame:
@@ -303,7 +304,8 @@ def first_order_terms(
     main = context_words(links.filter(F.col("order") == 1), text)
     cite = F.col("tag_cite") if is_cite is None else is_cite
     cls = F.when(U.is_attribution(link) == 1, "attribution").when(cite, "evidence").otherwise("ws")
-    weights = K.class_tf_idf(main.withColumn("first_class", cls), "first_class", "masked_text", (1, 2), max_features, stop_words)
+    main = cut_lineage(main.select(cls.alias("first_class"), "masked_text"))
+    weights = K.class_tf_idf(main, "first_class", "masked_text", (1, 2), max_features, stop_words)
     return K.top_terms(weights, "first_class", k)
 
 

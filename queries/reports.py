@@ -9,6 +9,7 @@ from linkloom.operators import html as H
 from linkloom.operators import relational as R
 from linkloom.operators import terms as K
 from linkloom.plans import reports as P
+from linkloom.session import cut_lineage
 from linkloom.sources import writers
 from queries.registry import Tables, query, rnd
 from queries.markup import FEATURES
@@ -123,7 +124,7 @@ ARTICLES = "SELECT title, 'T' || (n % 3) AS topic_leaf, n AS total_count FROM (S
     f"WHERE best.lang = 'en' AND {hash_number(sample_hash('4', 'web.page_id', 'web.pos'))} < {int(0.5 * 2**32)}",
 )
 def r6(t):
-    contexts = P.extract_content(linked_pages(t))
+    contexts = cut_lineage(P.extract_content(linked_pages(t)))  # three consumers
     web = P.clean_web_content(contexts)
     h = U.host("url")
     sites = t("pages").select(U.registered_domain(h).alias("domain"), U.public_suffix(h).alias("label"))
@@ -381,9 +382,9 @@ FIRST_ORDER = (
     f"ws AS (SELECT first_class, list_filter({words('text')}, lambda x: x NOT IN ({quoted(STOP)})) AS w FROM m), "
     "g AS (SELECT first_class, unnest(w) AS term FROM ws UNION ALL "
     "SELECT first_class, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM ws WHERE len(w) > 1), "
-    "c0 AS (SELECT first_class, term, count(*) AS n FROM g GROUP BY 1, 2), "
-    "v AS (SELECT term FROM c0 GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 2000), c AS (SELECT * FROM c0 SEMI JOIN v USING (term)), "
-    f"{tf_idf('c', 'first_class', n='(SELECT count(DISTINCT first_class) FROM m)')}"
+    "fc0 AS (SELECT first_class, term, count(*) AS n FROM g GROUP BY 1, 2), "
+    "fv AS (SELECT term FROM fc0 GROUP BY 1 ORDER BY sum(n) DESC, term LIMIT 2000), fc AS (SELECT * FROM fc0 SEMI JOIN fv USING (term)), "
+    f"{tf_idf('fc', 'first_class', n='(SELECT count(DISTINCT first_class) FROM m)')}"
 )
 
 
