@@ -80,8 +80,12 @@ def token_kind(tok: Column, tag: Column) -> Column:
 def attribute(tok: Column | str, name: str) -> Column:
     """Value of an attribute in an opening tag, quoted or not; NULL where it is absent."""
     tok = F.col(tok) if isinstance(tok, str) else tok
+    # Walk over the other attributes, quoted values whole, up to this one; possessive, so linear.
+    quoted = r"\"[^\"]*+\"|'[^']*+'"
+    other = rf"[\s/]*+(?!{name}\s*=)[^\s=>\"'/]++(?:\s*+=\s*+(?:{quoted}|[^\s\"'>]++))?+"
+    pattern = rf"(?is)^<[^\s/>]++(?:{other})*+[\s/]*+{name}\s*=\s*({quoted}|[^\s\"'>]++)"
     # Most tags have no attributes at all: do not run the pattern on those.
-    value = F.when(F.contains(tok, F.lit("=")), F.regexp_extract(tok, rf"(?is)^<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1))
+    value = F.when(F.contains(tok, F.lit("=")), F.regexp_extract(tok, pattern, 1))
     return once(value, lambda v: F.when(v != "", decode_entities(F.regexp_replace(v, "^[\"']|[\"']$", ""))))
 
 
