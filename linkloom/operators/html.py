@@ -373,7 +373,13 @@ def link_features(
     # A heading counts only if it stands beside the link's grandparent.
     near = F.col("heading.parent_pos") == F.col("up3.pos")
     text = lambda s: text_between("toks", F.col(f"{s}.pos"), F.col(f"{s}.close_pos"))
-    own = text_between("toks", F.col("pos"), F.col("close_pos"))
+    # The two texts are columns of their own first: the window below mentions each several times.
+    links = links.withColumns(
+        {
+            "hypertext": text_between("toks", F.col("pos"), F.col("close_pos")),
+            "_around": text("up2"),
+        }
+    )
     return links.select(
         key,
         "pos",
@@ -382,8 +388,8 @@ def link_features(
         F.col("up1.tag").alias("a1"),
         F.col("up2.tag").alias("a2"),
         F.when(near, text("heading")).alias("header"),
-        own.alias("hypertext"),
-        context_window(text("up2"), own, n).alias("nbhd_text"),
+        "hypertext",
+        context_window("_around", "hypertext", n).alias("nbhd_text"),
         *regions,
     )
 

@@ -59,6 +59,16 @@ def top_vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
     return totals.orderBy(F.desc("total"), "term").limit(max_features)
 
 
+def _keep_top(counts: DataFrame, max_features: int) -> DataFrame:
+    """Counts of the ``max_features`` most frequent terms; the limit bounds the broadcast.
+
+    An inner join on the unique terms, as a semi join would be pushed below the counting, and the
+    texts would be taken apart a second time instead of reading the same shuffle twice.
+    """
+    words = F.broadcast(top_vocabulary(counts, max_features).select("term"))
+    return counts.join(words, "term").select(*counts.columns)
+
+
 def bag_of_words(
     df: DataFrame,
     ids: Sequence[str],
@@ -68,9 +78,7 @@ def bag_of_words(
     ngram_range: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     counts = term_counts(df, ids, text, stop_words, ngram_range)
-    # limit() bounds the broadcast by max_features.
-    words = F.broadcast(top_vocabulary(counts, max_features).select("term"))
-    return counts.join(words, "term", "left_semi").select(*counts.columns)
+    return _keep_top(counts, max_features)
 
 
 def tf_idf(counts: DataFrame, ids: Sequence[str], n_units: Column) -> DataFrame:
@@ -114,8 +122,7 @@ def class_tf_idf(
     """TF-IDF with all texts of a class as one document; the class text itself is never built."""
     df = df.filter(F.col(cls).isNotNull())
     counts = term_counts(df, [cls], text, stop_words, ngram_range)
-    words = F.broadcast(top_vocabulary(counts, max_features).select("term"))
-    counts = counts.join(words, "term", "left_semi").select(cls, "term", "n")
+    counts = _keep_top(counts, max_features)
     return tf_idf(counts, [cls], df.agg(F.count_distinct(cls)).scalar())
 
 
@@ -159,7 +166,8 @@ def detect_language(
 ) -> DataFrame:
     """Language whose profile words carry the most weight in a text; ``fallback`` where none occurs.
 
-    The texts are not shuffled: only per-document word counts that hit a profile are.
+    Only word counts that hit a profile are shuffled for the scores. The result is joined back to
+    ``df`` by id, so pass only the columns that are needed further on.
     """
     hits = term_counts(df, ids, text).join(profiles, "term")
     scores = hits.groupBy(*ids, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))

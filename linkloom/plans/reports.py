@@ -129,7 +129,7 @@ def order_labels(
 
 def order_entropy(links: DataFrame, order: str, link: str, seed: str | int = 0) -> DataFrame:
     """Entropy of the linked articles per region, every region cut to as many articles as the smallest."""
-    seen = A.normalise(A.counts(links, [order, link], "n"), "n", [order], "p")
+    seen = A.normalise(cut_lineage(A.counts(links, [order, link], "n")), "n", [order], "p")
     return A.shannon_entropy(S.equal_size_sample(seen, order, [order, link], seed), [order], "p")
 
 
@@ -148,7 +148,8 @@ def topic_by_order(
     """
     one = A.dedupe(links, ["domain", "title"], list(link_order))
     both = attach_rows(one.select(order, "title"), topics.select("title", topic).distinct(), ["title"], "inner")
-    per = A.normalise(A.counts(both, [order, topic], "n"), "n", [order], "p")
+    # A small table (regions x topics) that several statistics read.
+    per = A.normalise(cut_lineage(A.counts(both, [order, topic], "n")), "n", [order], "p")
     per = N.z_score(per, "p", [topic])
     top = per.groupBy(topic).agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), topic).limit(n_topics)
     kept = per.join(F.broadcast(top.select(topic)), topic, "left_semi")

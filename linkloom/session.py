@@ -18,6 +18,8 @@ def get_session(app: str = "linkloom", cores: str | int = "*", shuffle_partition
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LINKLOOM_DRIVER_MEMORY", "12g"))
+        # Recording the Python call site of every expression costs more than planning the query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

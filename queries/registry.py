@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.sources.readers import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +23,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        # Long texts in one small file: see spread().
+        return spread(df) if name == "documents" else df
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

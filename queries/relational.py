@@ -8,6 +8,7 @@ from linkloom.functions import text as X
 from linkloom.functions import urls as U
 from linkloom.operators import html as H
 from linkloom.operators import relational as R
+from linkloom.sources.readers import spread
 from queries.registry import Tables, query, rnd
 from queries.sqlparts import HREF_ALL, LINKED, SITES, elements, host
 
@@ -380,4 +381,4 @@ def linked_pages(t: Tables):
     html = F.col("html")
     for old, new in changes:
         html = F.replace(html, old, new)
-    return t("pages").select("page_id", "url", html.alias("html"))
+    return spread(t("pages")).select("page_id", "url", html.alias("html"))
