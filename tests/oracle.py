@@ -45,9 +45,11 @@ def rows_of(columns, data):
     return sorted(tuple(_norm(r[i]) for i in order) for r in data)
 
 
-def compare(spark, con, fn, sql, folder):
-    """Returns (row count, problem or None)."""
+def compare(spark, con, fn, sql, folder, inspect=None):
+    """Returns (row count, problem or None). ``inspect`` gets to see the DataFrame first."""
     df = fn(spark, folder)
+    if inspect is not None:
+        inspect(df)
     got = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
     names = [d[0] for d in res.description]

@@ -1,11 +1,9 @@
-"""Plans: no Python workers, pushed filters, pruned columns, one shuffle for the page windows."""
+"""Plans: pushed filters, pruned columns, one shuffle for the page windows."""
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from linkloom.operators import html as H
 from linkloom.operators import sampling as S
 from linkloom.operators import windows as N
@@ -18,12 +16,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(("k6", "k7_fit", "k8", "r18"))])
-def test_no_python_in_plans(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
-    assert not re.search(r"EvalPython|InPandas|InArrow|CartesianProduct|BroadcastNestedLoopJoin", text)
-
-
 def test_link_extraction_has_no_shuffle(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     text = plan(P.clean_links(P.extract_links(pages, "^/"), "/"))
