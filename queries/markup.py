@@ -22,7 +22,7 @@ def j1(t: Tables):
 
 @query("j2_html_elements", f"WITH {elements()} SELECT page_id, pos, close_pos, tag, href, cls FROM el")
 def j2(t):
-    return H.html_elements(t("pages")).drop("eid").withColumns({"pos": F.col("pos").cast("long"), "close_pos": F.col("close_pos").cast("long")})
+    return H.html_elements(t("pages")).drop("eid")
 
 
 @query("j2_html_elements_linked", f"WITH {LINKED}, {elements('linked')} SELECT page_id, pos, close_pos, tag, href, cls FROM el")

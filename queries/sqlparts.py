@@ -69,7 +69,7 @@ def tokens(source: str = "pages") -> str:
     """``tok(page_id, pos, tok, tag, kind)``."""
     return f"""
     arr AS (SELECT page_id, regexp_extract_all(html, '{TOKEN}', 0) AS toks FROM {source}),
-    tok0 AS (SELECT page_id, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM arr),
+    tok0 AS (SELECT page_id, unnest(range(len(toks)))::INTEGER AS pos, unnest(toks) AS tok FROM arr),
     tok1 AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS tag FROM tok0),
     tok AS (SELECT *, CASE WHEN NOT starts_with(tok, '<') THEN 'text' WHEN starts_with(tok, '<!') THEN 'skip'
         WHEN starts_with(tok, '</') THEN 'close' WHEN tag IN ({quoted(VOID_TAGS + RAW_TAGS)}) THEN 'void'
