@@ -7,7 +7,7 @@ Everything here is a default of some operator's parameter and can be replaced by
 # Link to an encyclopedia article, any language. Searched anywhere in the href, so links through
 # redirectors and archives count too.
 LINK_PATTERN = r"[a-zA-Z\-]+\.(?:m\.)?wikipedia\.org/"
-# Characters that the raw-text search for English links accepts after the host.
+# Fixed value: characters that the raw-text search for English links accepts after the host.
 RAW_LINK_PATTERN = (
     r"(en\.wikipedia\.org[\s\/a-zA-ZäöüÄÖÜßþóúí\_\?(\),\,\-\#\&\$\@\!0-9\.\%\–\'\:]+)"
 )

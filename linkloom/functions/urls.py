@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.defaults import ARTICLE_PATH, PUBLIC_SUFFIXES
+from linkloom.defaults import ARTICLE_PATH, PUBLIC_SUFFIXES, RAW_LINK_PATTERN
 
 
 def _col(c: Column | str) -> Column:
@@ -23,7 +23,7 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def find_links(text: Column | str, pattern: str, group: int = 1) -> Column:
+def find_links(text: Column | str, pattern: str = RAW_LINK_PATTERN, group: int = 1) -> Column:
     """All matches of ``pattern`` in raw text, as an array."""
     return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
 

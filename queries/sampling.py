@@ -107,7 +107,7 @@ def g12(t):
 
 # Links in their place: site, parents, title.
 PLACED = (
-    f"{LINKED}, {elements('linked')}, {UPS}, {SITES}, pl AS (SELECT el.page_id, el.pos, sites.domain, "
+    f"{LINKED}, {elements('linked')}, {UPS}, {SITES}, pl AS (SELECT el.page_id, el.pos, sites.h AS domain, "
     "CASE WHEN regexp_matches(a1, '^h[1-6]') THEN 'header' WHEN a1 IN ('i') THEN a2 ELSE a1 END AS a1, href AS title "
     "FROM el JOIN ups USING (page_id, pos) JOIN sites USING (page_id) WHERE el.href IS NOT NULL)"
 )
@@ -115,7 +115,7 @@ PLACED = (
 
 def placed_links(t):
     found = H.parent_tags(H.html_elements(linked_pages(t)), F.col("href").isNotNull())
-    site = t("pages").select("page_id", U.registered_domain(U.host("url")).alias("domain"))
+    site = t("pages").select("page_id", U.host("url").alias("domain"))
     return found.join(site, "page_id").withColumn("title", F.col("href"))
 
 
