@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import language, packing, tokens
+from linkloom.llm import language, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,5 +17,6 @@ def _add(name: str, build: Callable[..., DataFrame], *tables: str) -> None:
 
 
 _add("op1_language_id", language.query, "documents")
+_add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
