@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import language, packing, quality, tokens
+from linkloom.llm import decontaminate, language, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +20,21 @@ _add("op1_language_id", language.query, "documents")
 _add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
+_add("op8_decontamination", decontaminate.query, "documents", "benchmark")
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+ORACLES["op8_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS t FROM (
+  SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM (SELECT *, least(len(w), 10) AS m FROM i WHERE len(w) > 0))),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS t FROM (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, s, m, item_id FROM dw JOIN win USING (m, t)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS l
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
