@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, language, packing, quality, tokens
+from linkloom.llm import decontaminate, language, packing, quality, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,7 @@ _add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
 _add("op8_decontamination", decontaminate.query, "documents", "benchmark")
+_add("op10_warc", warc.query, "pages")
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
