@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, language, packing, quality, tokens, warc
+from linkloom.llm import decontaminate, jaccard, language, packing, quality, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,7 @@ def _add(name: str, build: Callable[..., DataFrame], *tables: str) -> None:
 _add("op1_language_id", language.query, "documents")
 _add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
+_add("op5_ngram_jaccard", jaccard.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
 _add("op8_decontamination", decontaminate.query, "documents", "benchmark")
 _add("op10_warc", warc.query, "pages")
@@ -39,3 +40,22 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY ite
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+# sha1 of DuckDB reads text, so the digest is that of the same UTF-8 bytes.
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS k, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY 1)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN k <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN k <> page_id THEN k END AS refers_to
+FROM p LEFT JOIN k USING (h)"""
+_PLAIN = f"list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+ORACLES["op5_ngram_jaccard"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g FROM (
+  SELECT *, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) USING (doc_id)"""

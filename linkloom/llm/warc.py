@@ -235,4 +235,4 @@ def query(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_folder(spark, "warc")
     write(decide(pages), folder)
-    return index(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "offset")
+    return index(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
