@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, jaccard, language, neighbours, packing, quality, tokens, warc
+from linkloom.llm import decontaminate, jaccard, language, neighbours, packing, quality, repeats, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,7 @@ _add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
 _add("op5_ngram_jaccard", jaccard.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
+_add("op7_repeats", repeats.query, "documents")
 _add("op8_decontamination", decontaminate.query, "documents", "benchmark")
 _add("op9_nearest", neighbours.query, "embeddings")
 _add("op10_warc", warc.query, "pages")
