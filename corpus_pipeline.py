@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage works on all rows its predecessor kept. All but the last return the columns of
+``documents``; the last returns the packed pieces of the remaining texts.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.llm import decontaminate, jaccard, packing, quality, repeats
 from linkloom.llm.common import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, Jaccard 0.8 and more, linked in chains) the smallest doc_id stays."""
+    return jaccard.keep_one(docs, k=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 and more words that stood in an earlier place are cut out."""
+    return repeats.remove(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return packing.query(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", good_quality),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_array_dedup", without_repeats),
+    ("benchmark_decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
+
+# The classifier's weights and the tokenizer have no form in SQL.
 ORACLE_SQL: str | None = None
 
 
