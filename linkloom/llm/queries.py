@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontaminate, jaccard, language, neighbours, packing, quality, repeats, tokens, warc
+from linkloom.llm import decontaminate, jaccard, language, lm, neighbours, packing, quality, repeats, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,7 @@ def _add(name: str, build: Callable[..., DataFrame], *tables: str) -> None:
 _add("op1_language_id", language.query, "documents")
 _add("op2_quality", quality.query, "documents", "labels")
 _add("op3_token_counts", tokens.query, "documents")
+_add("op4_lm_score", lm.query, "documents")
 _add("op5_ngram_jaccard", jaccard.query, "documents")
 _add("op6_best_fit_packing", packing.query, "documents")
 _add("op7_repeats", repeats.query, "documents")

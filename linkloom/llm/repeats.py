@@ -185,11 +185,14 @@ def _cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: repeated passages are cut out of the texts, all other columns stay as they are. Documents without
-    a word left through this are dropped."""
+    """Pipeline stage: repeated passages are cut out of the texts, and ``n_chars`` follows where there is such a column;
+    all else stays as it is. Documents without a word left through this are dropped."""
     found = repeated_ranges(docs).filter(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("removed").alias("__removed"))
     own = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
     out = own.join(found, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__t")), "left")
     out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.arrow_udf(_cut, "string")(F.col("text"), F.col("__removed"))))
     out = out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
+    if "n_chars" in docs.columns:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(n))
     return out.select(*docs.columns)
