@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Words kept in each Python worker.
-KEPT_WORDS = 700_000
+KEPT_WORDS, LONGEST_KEPT = 700_000, 40
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> str:
@@ -36,6 +36,11 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _differences(counts: list[int]) -> bytes:
+    """As signed bytes: a piece has at most 16 characters of at most 4 bytes."""
+    return bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])  # noqa: B905
+
+
 class PrefixCounter(dict):
     """Maps a word (without its first word mark) to the counts at its prefixes, mark included."""
 
@@ -47,7 +52,8 @@ class PrefixCounter(dict):
         odd = (sp.is_control, sp.is_unused, sp.is_byte, sp.is_unknown)
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not any(f(i) for f in odd)}
         self.longest = max(map(len, self.score))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {"": {}}
+        self.known_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merging of a short string: best score first, leftmost among equals."""
@@ -66,21 +72,22 @@ class PrefixCounter(dict):
     def compatible(self, left: str, right: str) -> bool:
         return self.merged(left + right) == [left, right]
 
-    def table(self, word: str) -> list[int]:
-        """Token count of every prefix of ``word``, the empty one first."""
+    def table(self, word: str, same: int, counts: list[int], last: list[str]) -> None:
+        """Continues the token counts of the prefixes of ``word``, of which the first ``same`` and the
+        empty one are known; ``last`` holds the last piece of each prefix."""
         score, fits, longest = self.score, self.fits, self.longest
-        counts, last = [0], [""]
-        for i in range(1, len(word) + 1):
+        for i in range(same + 1, len(word) + 1):
             for j in range(max(0, i - longest), i):
                 t = word[j:i]
                 if t in score:
                     if j:
-                        pair = (last[j], t)
-                        fit = fits.get(pair)
+                        own = fits.get(last[j])
+                        if own is None:
+                            own = fits[last[j]] = {}
+                        fit = own.get(t)
                         if fit is None:
-                            if len(fits) > 2_000_000:
-                                fits.clear()
-                            fit = fits[pair] = self.compatible(*pair)
+                            fit = own[t] = self.compatible(last[j], t)
+                            self.known_pairs += 1
                         if not fit:
                             continue
                     counts.append(counts[j] + 1)
@@ -90,14 +97,34 @@ class PrefixCounter(dict):
                 c = word[i - 1]
                 counts.append(counts[i - 1] + (1 if c in score else len(c.encode("utf-8", "surrogatepass"))))
                 last.append(c)
-        return counts
+        if self.known_pairs > 1_000_000:
+            self.fits, self.known_pairs = {"": {}}, 0
+
+    def prepare(self, texts: list[str]) -> None:
+        """Solves all new words of a batch in alphabetical order: each starts where it parts from the
+        one before it."""
+        new = set()
+        for text in texts:
+            new.update(text.split(" "))
+        if len(self) + len(new) > KEPT_WORDS:
+            self.clear()
+        counts, last, before = [0], [""], ""
+        for word in sorted(w for w in new if w not in self and len(w) <= LONGEST_KEPT and SPACE not in w):
+            marked, same = SPACE + word, 0
+            for a, b in zip(marked, before):  # noqa: B905
+                if a != b:
+                    break
+                same += 1
+            del counts[same + 1 :], last[same + 1 :]
+            self.table(marked, same, counts, last)
+            before = marked
+            self[word] = _differences(counts)
 
     def __missing__(self, word: str) -> bytes:
-        # Differences fit a byte: a piece has at most 16 characters of at most 4 bytes.
-        found = np.diff(self.table(SPACE + word)).astype(np.int8).tobytes()
-        if len(word) <= 40:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
+        counts = [0]
+        self.table(SPACE + word, 0, counts, [""])
+        found = _differences(counts)
+        if len(word) <= LONGEST_KEPT and len(self) < KEPT_WORDS:
             self[word] = found
         return found
 
@@ -132,8 +159,10 @@ def prefix_counts(text: Column | str, model: str, budget: int = 4096) -> Column:
     def counted(array: pa.Array) -> pa.Array:
         counter = _counter(model)
         totals, within, stored = [], [], []
-        for text in array.to_pylist():
-            d = counter.deltas(text or "")
+        texts = [t or "" for t in array.to_pylist()]
+        counter.prepare(texts)
+        for text in texts:
+            d = counter.deltas(text)
             counts = np.cumsum(np.frombuffer(d, np.int8), dtype=np.int64)
             totals.append(int(counts[-1]) if len(counts) else 0)
             within.append(longest_within(counts, budget))
