@@ -194,7 +194,9 @@ def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str =
         F.count("*").alias("c"), F.max("posx").alias("i"), F.max("posy").alias("j"), F.first("px").alias("px"), F.first("py").alias("py"),
         F.first(F.when(same, F.least(F.col("via_ox") + F.col("ny") - F.col("via_oy"), F.col("via_oy") + F.col("nx") - F.col("via_ox")))).alias("most"),
     )
-    beyond = F.greatest(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    # Shared shingles that were not counted lie behind the counted part of one of the two sets.
+    part = lambda n, p: F.least(F.col(p), F.col(n) - need + 1)
+    beyond = F.greatest(F.col("nx") - part("nx", "px"), F.col("ny") - part("ny", "py"))
     rest = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) - 1
     open_ = pairs.filter((F.col("c") + F.least(beyond, rest) >= need) & (F.coalesce(F.col("most"), need) >= need))
     open_ = open_.select(F.col("idx").alias("x"), F.col("idy").alias("y"), "nx", "ny", F.lit(1).alias("place"))
