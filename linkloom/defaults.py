@@ -30,13 +30,14 @@ ORDER_NAMES = {2: "Response", 1: "Main content", 0: "Boilerplate"}
 INLINE_TAGS = ("b", "i", "em", "strong", "span", "font", "u", "small")
 
 # --- markup ------------------------------------------------------------------------------------
-# One token: comment | whole script or style element | tag | text. The quoted branches keep a ">"
-# inside an attribute value; the possessive loop cannot backtrack or recurse on huge tags.
+# One token: comment | whole script or style element | tag | text, with any "<" that opens no tag.
+# The quoted branches keep a ">" inside an attribute value; the possessive loops cannot backtrack or
+# recurse on huge tags.
 TOKEN = (
     r"(?is)<!--.*?-->"
     r"|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
     r"|<!?/?[a-zA-Z](?:[^'\">]++|\"[^\"]*\"|'[^']*')*+>"
-    r"|[^<]+"
+    r"|[^<]++(?:<(?![a-zA-Z/!])[^<]*+)*+|(?:<(?![a-zA-Z/!])[^<]*+)++"
 )
 VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -49,7 +50,8 @@ AUTO_CLOSE = {
     "option": ("option",),
 }
 HEADING = "^h[1-6]$"
-# Named entities; numeric ones are decoded by rule. The ampersand itself comes last.
+# The most frequent named entities, looked up first; all others come from the standard library's table
+# of HTML5 names, numeric ones are decoded by rule.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
     "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—",
@@ -68,5 +70,5 @@ PUBLIC_SUFFIXES = (
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@\\^_`{|}~“”"
 BREAK = " [BREAK] "
 BREAK_LOWER = " [break] "
-# Word tokens of two and more letters or digits, Latin alphabets with accents.
-WORD = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ_]{2,}"
+# Word tokens of two and more letters or digits, of any alphabet.
+WORD = r"[\p{L}\p{N}_]{2,}"

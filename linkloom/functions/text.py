@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 from collections.abc import Sequence
 
@@ -126,29 +128,31 @@ def _code_point(number: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
 
 
-def _decode_numeric(c: Column) -> Column:
+def _names(common: dict[str, str] = ENTITIES) -> Column:
+    """Entity names without & and ; to their characters, as one constant map; common names first."""
+    every = {k[1:-1]: v for k, v in common.items()}
+    every |= {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";") and k[:-1] not in every}
+    return F.from_json(F.lit(json.dumps(every)), "map<string,string>")
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Named entities by table, numeric ones by rule, in a single pass: what a decoded entity leaves
+    is not read again, unknown names stay. Text without ``&`` is passed through."""
 
     def piece(p: Column) -> Column:
         code = F.substring_index(p, ";", 1)
-        number = F.when(
-            code.rlike("^[xX]"), F.conv(F.substr(code, F.lit(2)), 16, 10).try_cast("bigint")
-        ).otherwise(code.try_cast("bigint"))
-        return F.concat(_code_point(number), F.substr(p, F.length(code) + 2))
+        number = F.when(code.rlike("^#[xX]"), F.conv(F.substr(code, F.lit(3)), 16, 10).try_cast("bigint")).otherwise(
+            F.substr(code, F.lit(2)).try_cast("bigint")
+        )
+        found = F.when(code.startswith("#"), _code_point(number)).otherwise(F.try_element_at(_names(), code))
+        return F.concat(F.coalesce(found, F.concat(F.lit("&"), code, F.lit(";"))), F.substr(p, F.length(code) + 2))
 
     def joined(parts: Column) -> Column:
         rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
         return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
-    return once(F.split(c, r"&#(?=[0-9]{1,7};|[xX][0-9a-fA-F]{1,6};)"), joined)
-
-
-def decode_entities(c: Column | str, named: dict[str, str] = ENTITIES) -> Column:
-    """Named entities by table, numeric ones by rule; text without ``&`` is passed through."""
-
     def decode(x: Column) -> Column:
-        out = F.when(F.contains(x, F.lit("&#")), _decode_numeric(x)).otherwise(x)
-        for name, char in named.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return F.when(F.contains(x, F.lit("&")), out).otherwise(x)
+        decoded = once(F.split(x, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"), joined)
+        return F.when(F.contains(x, F.lit("&")), decoded).otherwise(x)
 
     return once(_col(c), decode)

@@ -48,12 +48,12 @@ _UP_TO = (W.unboundedPreceding, 0)
 
 
 def by_page(pages: DataFrame, key: str) -> DataFrame:
-    """Pages hashed by key into ``spark.sql.shuffle.partitions`` parts.
+    """Pages hashed by key into ``spark.sql.shuffle.partitions`` parts, or as many as the scan has splits.
 
     The number is given explicitly because adaptive execution would merge parts by their compressed
     size here, while everything after this shuffle works on tokens that are many times larger.
     """
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
     return pages.repartition(n, key)
 
 
@@ -66,10 +66,15 @@ def token_tag(tok: Column) -> Column:
     return F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
 
 
+def is_text(tok: Column) -> Column:
+    """Text may begin with a "<" that opens no tag."""
+    return ~tok.startswith("<") | ~tok.rlike("^<[a-zA-Z/!]")
+
+
 def token_kind(tok: Column, tag: Column) -> Column:
     self_closed = tok.rlike(r"[\"'\s]/>$|^<[a-zA-Z0-9:\-]+/>$")
     return (
-        F.when(~tok.startswith("<"), "text")
+        F.when(is_text(tok), "text")
         .when(tok.startswith("<!"), "skip")
         .when(tok.startswith("</"), "close")
         .when(tag.isin(*VOID_TAGS, *RAW_TAGS) | self_closed, "void")
@@ -270,9 +275,11 @@ def parent_tags(elements: DataFrame, wanted: Column, key: str = "page_id") -> Da
 
 
 # --- text and markup of elements ---------------------------------------------------------------
-def with_page_tokens(df: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def with_page_tokens(
+    df: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html", carry: Sequence[str] = ()
+) -> DataFrame:
     """Put the page's token array beside its elements; both sides are partitioned by page already."""
-    toks = by_page(pages, key).select(key, token_array(html).alias("toks"))
+    toks = by_page(pages, key).select(key, token_array(html).alias("toks"), *carry)
     return df.join(toks.hint("merge"), key)
 
 
@@ -281,7 +288,7 @@ def text_between(toks: Column | str, start: Column, stop: Column) -> Column:
     toks = F.col(toks) if isinstance(toks, str) else toks
     length = F.least(stop, F.size(toks)) - start - 1
     inner = F.slice(toks, start + 2, F.greatest(length, F.lit(0)))
-    return decode_entities(F.array_join(F.filter(inner, lambda t: ~t.startswith("<")), ""))
+    return decode_entities(F.array_join(F.filter(inner, is_text), ""))
 
 
 def markup_between(toks: Column | str, start: Column, stop: Column) -> Column:
@@ -309,12 +316,18 @@ def element_text(
 
 def fragment_text(fragment: Column | str) -> Column:
     """Text of a markup fragment held in a column; the word ``None`` if under two characters."""
-    words = F.filter(token_array(fragment), lambda t: ~t.startswith("<"))
+    words = F.filter(token_array(fragment), is_text)
     text = decode_entities(F.array_join(words, ""))
     return F.when(F.length(text) < 2, F.lit("None")).otherwise(text)
 
 
 # --- links in their place ----------------------------------------------------------------------
+def linked_pages(pages: DataFrame, pattern: str = LINK_PATTERN, html: str = "html") -> DataFrame:
+    """Pages with a matching link; others cannot give a row, so they are dropped before any shuffle."""
+    anchors = F.col(html).rlike(r"(?i)<a\s")
+    return pages.filter(F.when(anchors, F.size(page_links(html, pattern)) > 0).otherwise(F.lit(False)))
+
+
 def _anchors_with_ancestors(
     pages: DataFrame, pattern: str, regions: Mapping[str, Column], key: str, html: str, headings: bool
 ) -> DataFrame:
@@ -337,12 +350,15 @@ def link_contexts(
     key: str = "page_id",
     html: str = "html",
     only_para: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per link: parent and grandparent tag, anchor text, parent text, href, and the markup of both.
 
-    ``only_para`` keeps markup and text only where the parent (grandparent) is a paragraph.
+    ``only_para`` keeps markup and text only where the parent (grandparent) is a paragraph. Columns of
+    ``pages`` named in ``carry`` come along.
     """
-    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, {}, key, html, False), pages, key, html)
+    pages = linked_pages(pages, pattern, html)
+    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, {}, key, html, False), pages, key, html, carry)
     para = lambda up, value: F.when(F.col(f"{up}.tag") == "p", value) if only_para else value
     span = lambda up, cut: cut("toks", F.col(f"{up}.pos"), F.col(f"{up}.close_pos"))
     return links.select(
@@ -355,6 +371,7 @@ def link_contexts(
         F.col("href").alias("wiki_url"),
         para("up1", span("up1", markup_between)).alias("text1"),
         para("up2", span("up2", markup_between)).alias("text2"),
+        *carry,
     )
 
 
@@ -366,10 +383,12 @@ def link_features(
     tags: Sequence[str] = REGION_TAGS,
     groups: Mapping[str, Sequence[str]] = CLASS_GROUPS,
     n: int = 150,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Flat feature row per link: regions, heading, neighbourhood, parents, depth."""
+    """Flat feature row per link: regions, heading, neighbourhood, parents, depth, columns to ``carry``."""
     regions = region_predicates(tags, groups)
-    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, regions, key, html, True), pages, key, html)
+    pages = linked_pages(pages, pattern, html)
+    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, regions, key, html, True), pages, key, html, carry)
     # A heading counts only if it stands beside the link's grandparent.
     near = F.col("heading.parent_pos") == F.col("up3.pos")
     text = lambda s: text_between("toks", F.col(f"{s}.pos"), F.col(f"{s}.close_pos"))
@@ -391,6 +410,7 @@ def link_features(
         "hypertext",
         context_window("_around", "hypertext", n).alias("nbhd_text"),
         *regions,
+        *carry,
     )
 
 
@@ -424,24 +444,22 @@ def page_order(
 def neighbour_links(
     pages: DataFrame, pattern: str = LINK_PATTERN, seed: str = "0", key: str = "page_id", html: str = "html"
 ) -> DataFrame:
-    """For each matching link a control: the next or the previous anchor of the page, by a seeded coin."""
-    tok = F.col("tok")
-    anchors = (
-        html_tokens(by_page(pages, key), key, html)
-        .filter((F.col("tag") == "a") & (F.col("kind") != "close"))
-        .select(key, "pos", attribute(tok, "href").alias("href"))
-    )
-    order = W.partitionBy(key).orderBy("pos")
+    """For each matching link a control: the next or the previous anchor of the page, by a seeded coin.
+
+    A page's anchors are an array of its row, so neighbours are found by index, without a shuffle.
+    """
+    place = lambda t, i: F.when(t.rlike(r"(?i)^<a(?:[\s/>]|$)"), F.struct(i.alias("pos"), attribute(t, "href").alias("href")))
+    anchors = F.filter(F.transform(token_array(html), place), lambda x: x.isNotNull())
+
+    def with_neighbours(found: Column) -> Column:
+        each = F.transform(
+            found, lambda x, i: F.struct(x["pos"].alias("pos"), x["href"].alias("href"), F.get(found, i + 1).alias("after"), F.get(found, i - 1).alias("before"))
+        )
+        return F.filter(each, lambda x: x["href"].rlike(pattern))
+
+    links = pages.select(key, F.explode(once(anchors, with_neighbours)).alias("x")).select(key, "x.*")
     coin = F.substr(F.md5(F.concat_ws("|", F.lit(seed), key, "pos")), F.lit(1), F.lit(1)) < "8"
-    both = anchors.withColumns(
-        {
-            "after": F.lead(F.struct("pos", "href")).over(order),
-            "before": F.lag(F.struct("pos", "href")).over(order),
-        }
-    )
-    picked = both.filter(F.col("href").rlike(pattern)).withColumn(
-        "pick", F.when(coin, F.col("after")).otherwise(F.col("before"))
-    )
+    picked = links.withColumn("pick", F.when(coin, F.col("after")).otherwise(F.col("before")))
     return picked.filter(F.col("pick").isNotNull()).select(
         key, "pos", "href", F.col("pick.pos").alias("neighbour_pos"), F.col("pick.href").alias("neighbour_href")
     )

@@ -100,10 +100,11 @@ def merge_totals(frames: Sequence[DataFrame], keys: Sequence[str], values: Seque
 
 
 def resume_remaining(todo: DataFrame, done: DataFrame, key: str, above_max: bool = False) -> DataFrame:
-    """Rows whose id is not done yet; optionally only ids above the largest one done."""
+    """Rows whose id is not done yet; optionally only ids above the largest one done (all, if none is)."""
     left = todo.join(done.select(key), key, "left_anti")
     if above_max:
-        left = left.filter(F.col(key) > done.agg(F.max(key)).scalar())
+        largest = done.agg(F.max(key)).scalar()
+        left = left.filter(largest.isNull() | (F.col(key) > largest))
     return left
 
 

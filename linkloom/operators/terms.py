@@ -15,6 +15,10 @@ from linkloom.operators.aggregates import normalise, shannon_entropy
 from linkloom.operators.sampling import sample_fraction, sample_per_group
 from linkloom.operators.skew import attach
 from linkloom.operators.windows import top_n_per_group
+from linkloom.session import cut_lineage
+
+#: Rows of a language profile up to which it is broadcast.
+BROADCAST_PROFILE = 500_000
 
 
 def english_stop_words(spark) -> list[str]:
@@ -166,11 +170,18 @@ def detect_language(
 ) -> DataFrame:
     """Language whose profile words carry the most weight in a text; ``fallback`` where none occurs.
 
-    Only word counts that hit a profile are shuffled for the scores. The result is joined back to
-    ``df`` by id, so pass only the columns that are needed further on.
+    The profile (languages x k rows) is kept once and broadcast up to ``BROADCAST_PROFILE`` rows, so words
+    meet it where they stand and only sums per text and language are shuffled; a larger profile is joined
+    on counted words. The result is joined back to ``df`` by id, so pass only the columns that are
+    needed further on.
     """
-    hits = term_counts(df, ids, text).join(profiles, "term")
-    scores = hits.groupBy(*ids, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    profiles = cut_lineage(profiles.select("lang", "term", "weight"))
+    if profiles.count() <= BROADCAST_PROFILE:
+        hits = df.select(*ids, F.explode(terms_of(text)).alias("term")).join(F.broadcast(profiles), "term")
+        scores = hits.groupBy(*ids, "lang").agg(F.sum("weight").alias("score"))
+    else:
+        hits = term_counts(df, ids, text).join(profiles, "term")
+        scores = hits.groupBy(*ids, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     best = scores.groupBy(*ids).agg(F.max(F.struct(F.round("score", 9).alias("score"), "lang")).alias("_best"))
     out = df.join(best, list(ids), "left")
     return out.withColumn(name, F.coalesce(F.col("_best.lang"), F.lit(fallback).cast("string"))).drop("_best")
@@ -209,7 +220,10 @@ def text_cosine(df: DataFrame, ids: Sequence[str], a: str, b: str) -> DataFrame:
         F.sum(F.when(F.col("_side") == "a", F.col("weight"))).alias("wa"),
         F.sum(F.when(F.col("_side") == "b", F.col("weight"))).alias("wb"),
     )
-    return per_term.groupBy(*ids).agg(F.coalesce(F.sum(F.col("wa") * F.col("wb")), F.lit(0.0)).alias("similarity"))
+    found = per_term.groupBy(*ids).agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    # Pairs in which neither text has a word are pairs nevertheless.
+    out = df.select(*ids).distinct().join(found, list(ids), "left")
+    return out.select(*ids, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def mean_topic_scores(df: DataFrame, group: str, scores: str) -> DataFrame:

@@ -62,8 +62,8 @@ def extract_content(
     pages: DataFrame, pattern: str = LINK_PATTERN, key: str = "page_id", only_para: bool = False
 ) -> DataFrame:
     """Link contexts with the page's url."""
-    found = H.link_contexts(pages, pattern, key, only_para=only_para)
-    return found.join(pages.select(key, "url"), key).select(
+    found = H.link_contexts(pages, pattern, key, only_para=only_para, carry=["url"])
+    return found.select(
         "url", key, "pos", "a1", "hypertext", "raw_text", "a2", "wiki_url", "text1", "text2"
     )
 
@@ -122,7 +122,7 @@ def order_labels(
     **features,
 ) -> DataFrame:
     """Features with the region label, the site, and the links per site."""
-    found = H.page_order(H.link_features(pages, pattern, key, **features)).join(pages.select(key, "url"), key)
+    found = H.page_order(H.link_features(pages, pattern, key, carry=["url"], **features))
     found = found.withColumn("domain", U.full_host(U.host("url"), suffixes))
     return N.group_count(cut_lineage(found), ["domain"], "url", "domain_count")
 

@@ -30,6 +30,10 @@ def process_in_batches(
         .option("pathGlobFilter", glob)
         .parquet(source)
     )
+    # Progress is kept for the last hundred batches only, unless told otherwise when the query starts.
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, str(2**31 - 1))
     query = (
         transform(files)
         .writeStream.format("parquet")
@@ -39,5 +43,6 @@ def process_in_batches(
         .trigger(availableNow=True)
         .start()
     )
+    spark.conf.set(kept, before)
     query.awaitTermination()
     return len([p for p in query.recentProgress if p["numInputRows"] > 0])

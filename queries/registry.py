@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.session import shared_folder
 from linkloom.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +29,8 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def scratch(self, name: str) -> str:
-        """A new folder for a round trip, in the shared folder the cluster names where it names one."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkloom-")
-        return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        """A new folder for a round trip, shared by all executors."""
+        return shared_folder(self.spark, name)
 
 
 def query(name: str, sql: str | None = None):

@@ -182,7 +182,7 @@ def cleaned(text: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-WORD = "[0-9A-Za-zÀ-ÖØ-öø-ÿ_]{2,}"
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def words(text: str) -> str:

@@ -187,3 +187,28 @@ def test_text_cosine(spark):
     df = spark.createDataFrame([(1, "red fox", "red fox"), (2, "aa bb", "cc dd")], "id int, a string, b string")
     got = values(K.text_cosine(df, ["id"], "a", "b"), "similarity", "id")
     assert got == pytest.approx([1.0, 0.0]) and math.isfinite(got[0])
+
+
+def test_resume_with_nothing_done(spark):
+    todo = spark.range(5).withColumnRenamed("id", "k")
+    assert R.resume_remaining(todo, todo.filter("false"), "k", above_max=True).count() == 5
+
+
+def test_text_cosine_without_words(spark):
+    df = spark.createDataFrame([(1, "?", "!"), (2, None, None), (3, "one word", "one word")], "id int, a string, b string")
+    got = dict(K.text_cosine(df, ["id"], "a", "b").collect())
+    assert got[1] == got[2] == 0.0 and abs(got[3] - 1) < 1e-9
+
+
+def test_words_of_any_alphabet(spark):
+    df = spark.createDataFrame([("Привет мир łódź Čeština 你好世界",)], "t string")
+    assert df.select(K.terms_of("t")).first()[0] == ["привет", "мир", "łódź", "čeština", "你好世界"]
+
+
+def test_running_session_is_left_alone(spark):
+    from linkloom import get_session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    assert get_session("other", cores=2, shuffle_partitions=8).conf.get("spark.sql.shuffle.partitions") == "2000"
+    spark.conf.set("spark.sql.shuffle.partitions", before)

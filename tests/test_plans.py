@@ -44,3 +44,17 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 def test_group_count_uses_no_window(spark):
     df = spark.read.parquet(f"{FOLDER}/events.parquet")
     assert "Window" not in plan(N.group_count(df, ["event_type"]))
+
+
+def test_only_linked_pages_are_shuffled(spark):
+    """Pages are filtered by their links below the shuffle; the url needs no second join."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    text = plan(P.extract_content(pages, "^/"))
+    for part in text.split("Exchange hashpartitioning(page_id")[1:]:
+        assert "RLIKE ^/" in part or "rlike" in part.lower()
+    assert text.count("SortMergeJoin") == 1
+
+
+def test_neighbour_links_stay_in_their_row(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    assert "Exchange" not in plan(H.neighbour_links(pages, "^/"))

@@ -76,6 +76,7 @@ def test_wiki_language(spark, link, language):
         ("1.5e3", lambda: X.is_float("c"), True),
         ("x", lambda: X.is_float("c"), False),
         ("&#8364; &#x41;&amp;lt; &#0;", lambda: X.decode_entities("c"), "€ A&lt; �"),
+        ("caf&eacute; M&uuml;ller &#38;lt; &nosuch; &amp;eacute; a&b; &;", lambda: X.decode_entities("c"), "café Müller &lt; &nosuch; &eacute; a&b; &;"),
         ("one two three", lambda: X.ngrams(X.tokens("c"), 2), ["one two", "two three"]),
         ("one", lambda: X.ngrams(X.tokens("c"), 2), []),
     ],
