@@ -14,6 +14,7 @@ their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from linkloom.llm.common import stored
 
 LIMIT = 1024
 END_ID = 2
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Where a text may not be cut at every blank, it is encoded as a whole.
 _ODD_BLANKS = re.compile(r"\s \s|\s $")
 
@@ -38,22 +39,40 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_of_letter() -> dict[str, int]:
+    """Byte-level vocabularies write bytes as letters: printable Latin-1 ones as themselves, the others
+    in order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
 class Encoder(dict):
     """Ids of a text as little-endian 32-bit numbers. A byte-level tokenizer never joins a blank
-    with what stands before it, so words are encoded once and kept, each with the blank before it."""
+    with what stands before it, so words are encoded once and kept, each with the blank before it.
+
+    Whole texts go through the tokenizer itself; single words through the same vocabulary as ranks (the
+    ids are in merge order), which costs a quarter of the time for short strings."""
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = byte_of_letter()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
+        encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.word_ids = encoding.encode_ordinary
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(" " + word)
+        ids = array.array("I", self.word_ids(" " + word)).tobytes()
         if len(word) <= 40:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -76,11 +95,11 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     end = np.array([end_id], "<u4").tobytes()
 
     @F.arrow_udf(f"array<{kind}>")
-    def cut(array: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array) -> pa.Array:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder, out = _encoders[path], []
-        for value in array.to_pylist():
+        for value in texts.to_pylist():
             ids = encoder.ids(value or "") + end
             n = len(ids) // 4
             first = (n - 1) % limit + 1
