@@ -172,22 +172,31 @@ class Plan:
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> Plan:
-    left = np.zeros(limit + 1, np.int64)
+    """The best of a few ways to round the fitted repeats; all are made from the histogram alone."""
+    counts = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
-        left[length] = n
+        counts[length] = n
+    patterns = exact_patterns(limit)
+    patterns = patterns[((counts[patterns] > 0) | (patterns == 0)).all(1)]
+    repeats = fit_repeats(patterns, counts) if len(patterns) else np.zeros(0)
+    tried = (_rounded(counts, patterns, f(repeats), limit) for f in (np.round, np.floor, lambda x: np.floor(0.8 * x), lambda x: np.floor(0.5 * x), lambda x: np.floor(0.2 * x)))
+    return min(tried, key=lambda p: p.sequences)
+
+
+def _rounded(counts: np.ndarray, patterns: np.ndarray, repeats: np.ndarray, limit: int) -> Plan:
+    """Patterns as often as ``repeats`` says and the histogram allows, the residual lengths best-fit decreasing."""
+    left = counts.copy()
     bins: list[tuple[tuple[tuple[int, int], ...], int]] = []  # (length, how often) of a sequence, and repeats
     bins.append((((limit, 1),), int(left[limit])))
     left[limit] = 0
-    patterns = exact_patterns(limit)
-    patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(1)]
-    if len(patterns):
-        repeats = fit_repeats(patterns, left)
-        for j in np.argsort(-repeats):
-            lengths, often = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
-            n = int(min(np.round(repeats[j]), (left[lengths] // often).min()))
-            if n > 0:
-                bins.append((tuple(zip(lengths.tolist(), often.tolist(), strict=True)), n))
-                left[lengths] -= often * n
+    for j in np.argsort(-repeats, kind="stable"):
+        if repeats[j] < 1:
+            break
+        lengths, often = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
+        n = int(min(repeats[j], (left[lengths] // often).min()))
+        if n > 0:
+            bins.append((tuple(zip(lengths.tolist(), often.tolist(), strict=True)), n))
+            left[lengths] -= often * n
     # Residuals, best fit decreasing: open sequences by the room they have.
     room: dict[int, list[list]] = {}
     for length in range(limit - 1, 0, -1):
