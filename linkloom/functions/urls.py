@@ -93,13 +93,18 @@ def host_endings(h: Column | str) -> Column:
 
 
 def public_suffix(h: Column | str, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    """Longest known ending of a host, else the empty string.
+    """Longest known ending of a host; where none is known, the last label, which is the default rule of
+    public suffix lists. Empty for hosts without a dot and for addresses of digits.
 
     The list becomes a hash set inside the expression: no join and no shuffle. For a list kept as a
-    table use ``operators.joins.registered_domain``.
+    table use ``operators.relational.registered_domain_by_table``.
     """
     known = F.filter(host_endings(h), lambda e: e.isin(list(suffixes)))
-    return F.coalesce(F.get(known, F.lit(0)), F.lit(""))
+    return F.coalesce(F.get(known, F.lit(0)), default_suffix(h))
+
+
+def default_suffix(h: Column | str) -> Column:
+    return F.regexp_extract(_col(h), r"\.([^.]*[^.0-9][^.]*)$", 1)
 
 
 def domain_of(h: Column | str, suffix: Column) -> Column:

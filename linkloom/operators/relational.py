@@ -127,10 +127,12 @@ def registered_domain_by_table(df: DataFrame, url: str, suffixes: DataFrame) ->
     hosts = hosted.groupBy("_host").agg(F.count("*").alias("_rows"))
     endings = hosts.select("_host", "_rows", F.explode(U.host_endings("_host")).alias("suffix"))
     best = (
-        endings.join(suffixes.select("suffix").distinct(), "suffix")
+        endings.join(suffixes.select("suffix", F.lit(True).alias("_known")).distinct(), "suffix", "left")
         .groupBy("_host", "_rows")
-        .agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
+        .agg(F.max_by("suffix", F.when(F.col("_known"), F.length("suffix"))).alias("suffix"))
     )
+    # Without a known ending the last label counts, the default rule of public suffix lists.
+    best = best.withColumn("suffix", F.coalesce("suffix", U.default_suffix("_host")))
     best = best.select("_host", "_rows", U.domain_of("_host", F.col("suffix")).alias("domain"), "suffix")
     out = attach(hosted, best, ["_host"], weight="_rows")
     fill = lambda c: F.coalesce(c, F.lit("")).alias(c)

@@ -1,4 +1,5 @@
-"""Reports R1-R19: each one a single lazy plan over the operators, tables in, table out."""
+"""Reports R1-R19: tables in, table out. Lazy plans over the operators, except that R6, R7, R11, R12, R17
+and R18 checkpoint an intermediate result which several of their jobs read."""
 
 from __future__ import annotations
 

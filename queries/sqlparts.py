@@ -29,7 +29,7 @@ def suffix(h: str) -> str:
     values = ", ".join(f"('{s}')" for s in PUBLIC_SUFFIXES)
     return (
         f"coalesce((SELECT arg_max(s, length(s)) FROM (VALUES {values}) v(s) "
-        f"WHERE ends_with('.' || {h}, '.' || s)), '')"
+        f"WHERE ends_with('.' || {h}, '.' || s)), regexp_extract({h}, '\\.([^.]*[^.0-9][^.]*)$', 1))"
     )
 
 

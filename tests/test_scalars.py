@@ -77,6 +77,11 @@ def test_wiki_language(spark, link, language):
         ("x", lambda: X.is_float("c"), False),
         ("&#8364; &#x41;&amp;lt; &#0;", lambda: X.decode_entities("c"), "€ A&lt; �"),
         ("caf&eacute; M&uuml;ller &#38;lt; &nosuch; &amp;eacute; a&b; &;", lambda: X.decode_entities("c"), "café Müller &lt; &nosuch; &eacute; a&b; &;"),
+        ("www.foo.kr", lambda: U.registered_domain("c"), "foo.kr"),
+        ("a.b.co.uk", lambda: U.registered_domain("c"), "b.co.uk"),
+        ("news.example.dev", lambda: U.full_host("c"), "news.example.dev"),
+        ("10.0.0.1", lambda: U.registered_domain("c"), ""),
+        ("localhost", lambda: U.registered_domain("c"), ""),
         ("one two three", lambda: X.ngrams(X.tokens("c"), 2), ["one two", "two three"]),
         ("one", lambda: X.ngrams(X.tokens("c"), 2), []),
     ],
