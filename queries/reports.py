@@ -59,19 +59,19 @@ def r2b(t):
 
 @query(
     "r3_language_shares",
-    f"WITH {LINK_TABLE} SELECT wikidb, count(*) AS n_links, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM links WHERE wikidb IN ('en', 'fr', 'de') GROUP BY 1",
+    f"WITH {LINK_TABLE} SELECT wikidb, count(*) AS n_links, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM links GROUP BY 1",
 )
 def r3(t):
-    return P.language_shares(link_table(t), ["en", "fr", "de"]).withColumn("share", rnd("share", 9))
+    return P.language_shares(link_table(t)).withColumn("share", rnd("share", 9))
 
 
 @query(
     "r3_language_tables",
-    f"WITH {LINK_TABLE} SELECT wikidb, domain, url, title FROM links WHERE wikidb IN ('en', 'de')",
+    f"WITH {LINK_TABLE} SELECT wikidb, domain, url, title FROM links",
 )
 def r3b(t):
     path = t.scratch("language-tables")
-    writers.write_by_language(link_table(t), path, ["en", "de"])
+    writers.write_by_language(link_table(t), path, ["en", "fr", "de", "es"])
     return t.spark.read.parquet(path).select("wikidb", "domain", "url", "title")
 
 
@@ -244,17 +244,17 @@ def r10c(t):
     return comparison(t).gaps.select("topic_leaf", "metric", rnd("gap", 9).alias("gap"))
 
 
-# Links with a region: documents (site = source) linking to words, region by label.
+# Links with a region: documents (site = source) linking to words, region by label, main content without one.
 LABELLED_LINKS = (
-    "ll AS (SELECT (quality + toxic)::INTEGER AS \"order\", source AS domain, doc_id, "
-    f"unnest(list_distinct({words('text')})) AS title FROM documents JOIN labels USING (doc_id))"
+    "ll AS (SELECT coalesce(quality + toxic, 1)::INTEGER AS \"order\", source AS domain, doc_id, "
+    f"unnest(list_distinct({words('text')})) AS title FROM documents LEFT JOIN labels USING (doc_id))"
 )
 
 
 def labelled_links(t):
-    both = docs(t).join(t("labels"), "doc_id")
+    both = docs(t).join(t("labels"), "doc_id", "left")
     title_ = F.explode(F.array_distinct(K.terms_of("text"))).alias("title")
-    return both.select((F.col("quality") + F.col("toxic")).cast("int").alias("order"), F.col("source").alias("domain"), "doc_id", title_)
+    return both.select(F.coalesce(F.col("quality") + F.col("toxic"), F.lit(1)).cast("int").alias("order"), F.col("source").alias("domain"), "doc_id", title_)
 
 
 TOPICS = "tp AS (SELECT DISTINCT title, 'len_' || length(title) AS topic_leaf FROM ll UNION SELECT DISTINCT title, 'start_' || title[1:1] FROM ll)"
@@ -412,8 +412,8 @@ def r18b(t):
 
 @query(
     "r19_identifier_union",
-    "SELECT doc_id, lang AS wikidb FROM documents WHERE lang IN ('en', 'de', 'fr')",
+    "SELECT doc_id, lang AS wikidb FROM documents",
 )
 def r19(t):
-    frames = {lang: t("documents").filter(F.col("lang") == lang).select("doc_id") for lang in ("en", "de", "fr")}
+    frames = {lang: t("documents").filter(F.col("lang") == lang).select("doc_id") for lang in ("en", "de", "fr", "es")}
     return P.identifier_union(frames)

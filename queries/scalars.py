@@ -118,11 +118,12 @@ def i11(t):
 
 @query(
     "i12_context_window",
-    f"WITH w AS (SELECT doc_id, text, split_part(trim(text), ' ', 12) AS needle FROM documents) "
+    f"WITH w AS (SELECT doc_id, text, coalesce(nullif(split_part(trim(text), ' ', 12), ''), split_part(trim(text), ' ', 1)) AS needle FROM documents) "
     f"SELECT doc_id, {context('text', 'needle')} AS context FROM w WHERE needle <> ''",
 )
 def i12(t):
-    w = t("documents").select("doc_id", "text", F.split_part(F.trim("text"), F.lit(" "), F.lit(12)).alias("needle"))
+    word = lambda n: F.split_part(F.trim("text"), F.lit(" "), F.lit(n))
+    w = t("documents").select("doc_id", "text", F.coalesce(F.nullif(word(12), F.lit("")), word(1)).alias("needle"))
     return w.filter(F.col("needle") != "").select("doc_id", X.context_window("text", "needle").alias("context"))
 
 

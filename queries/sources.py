@@ -110,11 +110,11 @@ def a11(t: Tables):
 
 @query(
     "a12_write_by_language",
-    "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'de') GROUP BY lang",
+    "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang",
 )
 def a12(t: Tables):
     path = t.scratch("languages")
-    writers.write_by_language(t("documents").select("doc_id", "lang", "n_chars"), path, ["en", "de"], "lang")
+    writers.write_by_language(t("documents").select("doc_id", "lang", "n_chars"), path, ["en", "de", "fr", "es"], "lang")
     back = t.spark.read.schema("doc_id long, n_chars long, lang string").parquet(path)
     return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
