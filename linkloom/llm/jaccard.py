@@ -8,7 +8,7 @@
    shingles of their own so far that nothing is left to index. Equal sets are indexed once.
 3. Index lists are cut in blocks by set size. A set is looked up only in blocks of sizes that can be
    similar, and an entry stands only in those blocks that its position in its set still allows.
-4. Each set is first compared with the pivots of its lists (the smallest set there). Sets that are
+4. Each set is first compared with the pivots of its lists (the set there with the fewest shingles of its own). Sets that are
    linked with one pivot already share a component, so pairs among them are skipped. For the other
    pairs of sets with a common pivot, the overlaps with the pivot bound the overlap of the two from
    both sides; only what these bounds leave open is compared set by set.
@@ -124,7 +124,7 @@ def _buckets(docs: DataFrame) -> int:
     unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     number = split.rstrip("bkmg")
     size = int(number) * unit[split[len(number) :][:1] or "b"]
-    wanted = docs.rdd.getNumPartitions() * max(1, size // (4 << 20))
+    wanted = docs.rdd.getNumPartitions() * max(1, size // (8 << 20))
     return 1 << max(4, (wanted - 1).bit_length())
 
 
@@ -145,25 +145,25 @@ def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str =
     sets = stored(sets.join(reps, ["n", "d1", "d2"]).select("id", "n", "rep"), "sets")
 
     # Only sets whose shared shingles could reach the threshold are indexed.
-    shared = facts.filter("shingles is not null").select("id", "shingles", "df")
+    shared = facts.filter("shingles is not null").groupBy("id").agg(F.collect_list(F.struct("shingles", "df")).alias("x"), F.sum(F.size("shingles")).alias("s"))
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("long")
-    some = shared.groupBy("id").agg(F.sum(F.size("shingles")).alias("s"))
-    alive = sets.filter("id = rep and n > 0").join(some, "id").select("id", "n", (F.col("n") - F.col("s")).alias("alone"), prefix.alias("p"))
-    alive = alive.filter("alone < p").dropDuplicates(["id"])
-    near = stored(shared.join(alive, "id"), "similar-candidates")
+    alone = F.col("n") - F.col("s")
+    near = shared.join(sets.filter("id = rep and n > 0").groupBy("id").agg(F.max("n").alias("n")), "id").filter(alone < prefix)
+    flat = [F.flatten(F.col("x." + c)).alias(c) for c in ("shingles", "df")]
+    near = stored(near.select("id", "n", alone.alias("alone"), prefix.alias("p"), *flat), "similar-candidates")
     each = near.select("id", "n", "alone", "p", F.explode(F.arrays_zip("shingles", "df")).alias("x"))
     each = each.select("id", "n", "alone", "p", F.col("x.shingles").alias("s"), F.col("x.df").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
-    posts = each.withColumn("pos", F.col("alone") + rank - 1).filter("pos < p").select("s", "id", "n", "p", "pos")
+    posts = each.withColumn("pos", F.col("alone") + rank - 1).filter("pos < p").select("s", "id", "n", "p", "pos", "alone")
     posts = stored(posts, "postings")
-    full = near.groupBy("id").agg(F.flatten(F.collect_list("shingles")).alias("set"), F.first("n").alias("n"))
-    full = stored(full, "shared-sets")
+    full = near.select("id", F.col("shingles").alias("set"))
 
-    # Lists of one entry hold no pair. The pivot of a list is its smallest set.
-    lists = posts.groupBy("s").agg(F.min(F.struct("n", "id")).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    # Lists of one entry hold no pair. The pivot of a list is the set with the fewest shingles of its own:
+    # among edited copies of one text, the one closest to all others.
+    lists = posts.groupBy("s").agg(F.min(F.struct("alone", "n", "id")).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
     posts = posts.join(lists.select("s", "pivot"), "s")
     to_pivot = posts.filter("id != pivot.id").select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pivot.id").alias("y"), F.col("pivot.n").alias("ny"))
-    to_pivot = to_pivot.filter(F.col("ny") * 100 >= F.col("nx") * percent).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c"))
+    to_pivot = to_pivot.filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).groupBy("x", "nx", "y", "ny").agg(F.count("*").alias("c"))
     first = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))
     to_pivot = to_pivot.withColumn("place", first).filter("place <= 2").select("x", "y", "nx", "ny", "place")
     told = stored(_overlaps(to_pivot, full), "pivot-overlaps")
