@@ -52,6 +52,24 @@ def anchors(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], row[keep]
 
 
+def thinned(found: np.ndarray, row: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which suffixes to keep: in a run of equal heads of one text (a word or phrase said again and again) some
+    can go, as long as the spans around those kept still reach over the whole run."""
+    keep = np.ones(len(found), bool)
+    order = np.lexsort((found, heads, row))
+    same = (np.diff(row[order]) == 0) & (np.diff(heads[order]) == 0)
+    edges = np.flatnonzero(np.concatenate(([True], ~same, [True])))
+    for k in np.flatnonzero(np.diff(edges) > 2):
+        own = order[edges[k] : edges[k + 1]]
+        last = found[own[0]]
+        for i, j in zip(own[1:-1], own[2:], strict=True):
+            if found[j] - last <= WIDTH:
+                keep[i] = False
+            else:
+                last = found[i]
+    return keep
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, digests, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
@@ -59,6 +77,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, at, _, _ = words.word_hashes(*utf8(texts.slice(start, stop - start)))
             found, row = anchors(h, at)
             heads = words.windows(h, HEAD)[found].view(np.int64) if len(found) else np.zeros(0, np.int64)
+            keep = thinned(found, row, heads)
+            found, row, heads = found[keep], row[keep], heads[keep]
             n = np.diff(at)
             whole = np.arange(stop - start)  # a row for each text: its number of words, at place -1
             head = np.concatenate([n, heads])
@@ -68,8 +88,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans around the suffixes: hash, row key, start, whether seen before in the text, whether more than once."""
-    names = ["span", "id", "t", "s", "again", "twice"]
+    """Different spans around a text's suffixes: hash, row key, and all their starts in the text, ascending."""
+    names = ["span", "id", "t", "starts"]
     for batch in batches:
         ids, digests, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
         for start, stop in pieces(batch.column(2)):
@@ -81,10 +101,12 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = places[start + i].values.to_numpy()
                 s = np.unique((p[:, None] - np.arange(WIDTH)[None]).ravel())
                 s = s[(s >= 0) & (s < len(spans))]
-                _, first, back, often = np.unique(spans[s], return_index=True, return_inverse=True, return_counts=True)
-                n = len(s)
-                arrays = [spans[s].view(np.int64), np.full(n, ids[start + i]), np.full(n, digests[start + i]), s.astype(np.int32), first[back] != np.arange(n), often[back] > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names)
+                found, back, often = np.unique(spans[s], return_inverse=True, return_counts=True)
+                offsets = np.concatenate(([0], np.cumsum(often))).astype(np.int32)
+                starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[np.argsort(back, kind="stable")].astype(np.int32)))
+                n = len(found)
+                arrays = [pa.array(found.view(np.int64)), pa.array(np.full(n, ids[start + i])), pa.array(np.full(n, digests[start + i])), starts]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -116,15 +138,17 @@ _SPANS = "struct<repeated:array<struct<a:int,b:int>>,removed:array<struct<a:int,
 
 
 def _ranges(starts: pa.Array, gone: pa.Array, n: pa.Array, copies: pa.Array) -> pa.Array:
-    """Ranges of words of one text from its repeated span starts and whether each is a later occurrence."""
+    """Ranges of words of one text from the starts of its repeated spans, and whether the first start of each is a
+    later occurrence; the other starts always are."""
     kind = pa.struct([("repeated", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("removed", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
     out = []
     for s, g, size, c in zip(starts.to_pylist(), gone.to_pylist(), n.to_pylist(), copies.to_pylist(), strict=True):
-        s, g = np.array(s or [], np.int64), np.array(g or [], bool)
-        kept, repeated = s[~g], _runs(s)
+        later = np.array([x for own, late in zip(s or [], g or [], strict=True) for x in (own if late else own[1:])], np.int64)
+        kept = np.array([own[0] for own, late in zip(s or [], g or [], strict=True) if not late], np.int64)
+        repeated = _runs(np.concatenate([kept, later]))
         if c > 1 and size >= SPAN:  # each span stands in the copies as well
-            kept, repeated = np.setdiff1d(np.arange(size - SPAN + 1), s[g]), [(0, size)]
-        removed = _without(_runs(s[g]), _runs(kept))
+            kept, repeated = np.setdiff1d(np.arange(size - SPAN + 1), later), [(0, size)]
+        removed = _without(_runs(later), _runs(kept))
         out.append({k: [{"a": a, "b": b} for a, b in v] for k, v in (("repeated", repeated), ("removed", removed))})
     return pa.array(out, kind)
 
@@ -145,14 +169,14 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     # Extension to both sides.
     rows = own.join(found, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "places")
-    spans = stored(rows.mapInArrow(_extended, "span long, id long, t long, s int, again boolean, twice boolean"), "spans")
+    spans = stored(rows.mapInArrow(_extended, "span long, id long, t long, starts array<int>"), "spans")
     # The first occurrence is that of the smallest id; texts of one id are told apart by their hash.
     where = spans.groupBy("span").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t")).filter("lo != hi or lo_t != hi_t")
-    marks = spans.join(where, "span", "left").filter("twice or lo is not null")
-    later = F.col("again") | F.coalesce((F.col("id") != F.col("lo")), F.lit(False))
-    marks = marks.groupBy("id", "t").agg(F.collect_list(F.struct("s", later.alias("later"))).alias("m"))
+    marks = spans.join(where, "span", "left").filter("size(starts) > 1 or lo is not null")
+    later = F.coalesce(F.col("id") != F.col("lo"), F.lit(False))
+    marks = marks.groupBy("id", "t").agg(F.collect_list(F.struct("starts", later.alias("later"))).alias("m"))
     reps = reps.join(marks, ["id", "t"], "left").filter(f"m is not null or (copies > 1 and n >= {SPAN})")
-    ranges = reps.select("id", "t", "n", "copies", F.arrow_udf(_ranges, _SPANS)(F.col("m.s"), F.col("m.later"), F.col("n"), F.col("copies")).alias("r"))
+    ranges = reps.select("id", "t", "n", "copies", F.arrow_udf(_ranges, _SPANS)(F.col("m.starts"), F.col("m.later"), F.col("n"), F.col("copies")).alias("r"))
     ranges = stored(ranges.select("id", "t", "n", "copies", "r.repeated", "r.removed"), "ranges")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     copies = texts.select("id", "t").distinct().join(ranges.filter(f"copies > 1 and n >= {SPAN}").select("t", "n", F.col("id").alias("rep")), "t").filter("id != rep")
