@@ -23,7 +23,7 @@ id are not linked. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,33 +86,60 @@ def _packed(docs: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 _SHARED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", pa.list_(pa.int64())), ("df", pa.list_(pa.int32()))])
-
-
-def _shared_shingles(table: pa.Table) -> pa.Table:
-    """For one bucket: each document's shingles that other documents hold too, and in how many."""
-    ids = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids").combine_chunks()]
-    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+_PARTS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("shingles", pa.binary()), ("df", pa.binary())])
+
+
+def _binaries(table: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in table.column(column).combine_chunks()]
+
+
+def _shared_shingles(parts: int) -> Callable[[pa.Table], pa.Table]:
+    """For one bucket: the shingles that several documents hold, with how many, dealt out by document to ``parts``
+    packed rows. Set sizes and digests pass as they are, in parts below zero."""
+
+    def shared(table: pa.Table) -> pa.Table:
+        ids, data = _binaries(table, "ids", np.int64), _binaries(table, "shingles", np.uint64)
+        if not ids:
+            return _PARTS.empty_table()
+        if table.column("bucket")[0].as_py() < 0:
+            none = pa.array([b""] * len(ids), pa.binary())
+            return pa.table([table.column("bucket").combine_chunks(), *(table.column(c).combine_chunks() for c in ("ids", "shingles")), none], schema=_PARTS)
+        packed = np.concatenate(data)
+        base = np.repeat(np.cumsum([0, *map(len, ids[:-1])]), [len(x) for x in data])
+        own = np.concatenate(ids)[(packed & np.uint64(_ROWS)).astype(np.int64) + base]
+        h = (packed >> np.uint64(_ROW_BITS)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, own = h[order], own[order]
+        first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        df = np.diff(np.append(np.flatnonzero(first), len(h)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        h, own, df = h[keep], own[keep], df[keep].astype(np.int32)
+        part = (words.mix(own.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        h, own, df, part = h[order], own[order], df[order], part[order]
+        edges = np.searchsorted(part, np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(edges))
+        columns = [pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()) for x in (own, h, df)]
+        return pa.table([pa.array(full.astype(np.int32)), *columns], schema=_PARTS)
+
+    return shared
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """For one part of the documents: a row for each, with its shared shingles and their frequencies."""
+    ids = _binaries(table, "ids", np.int64)
     if not ids:
         return _SHARED.empty_table()
-    if table.column("bucket")[0].as_py() < 0:
-        n, d1, d2 = (np.concatenate([x.reshape(3, -1)[i] for x in data]).view(np.int64) for i in range(3))
-        size = len(n)
-        return pa.table([pa.array(np.concatenate(ids)), pa.array(n), pa.array(d1), pa.array(d2), pa.nulls(size, _SHARED.field(4).type), pa.nulls(size, _SHARED.field(5).type)], schema=_SHARED)
-    packed = np.concatenate(data)
-    base = np.repeat(np.cumsum([0, *map(len, ids[:-1])]), [len(x) for x in data])
-    own = np.concatenate(ids)[(packed & np.uint64(_ROWS)).astype(np.int64) + base]
-    h = (packed >> np.uint64(_ROW_BITS)).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, own = h[order], own[order]
-    first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    df = np.diff(np.append(np.flatnonzero(first), len(h)))
-    df = np.repeat(df, df)
-    keep = df > 1
-    h, own, df = h[keep], own[keep], df[keep]
+    own = np.concatenate(ids)
+    if table.column("part")[0].as_py() < 0:
+        facts = [x.reshape(3, -1) for x in _binaries(table, "shingles", np.uint64)]
+        n, d1, d2 = (np.concatenate([x[i] for x in facts]).view(np.int64) for i in range(3))
+        return pa.table([pa.array(own), pa.array(n), pa.array(d1), pa.array(d2), pa.nulls(len(n), _SHARED.field(4).type), pa.nulls(len(n), _SHARED.field(5).type)], schema=_SHARED)
+    h, df = np.concatenate(_binaries(table, "shingles", np.int64)), np.concatenate(_binaries(table, "df", np.int32))
     order = np.argsort(own, kind="stable")
-    h, own, df = h[order], own[order], df[order].astype(np.int32)
-    first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
-    at = np.flatnonzero(first)
+    h, own, df = h[order], own[order], df[order]
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     offsets = pa.array(np.append(at, len(own)).astype(np.int32))
     none = pa.nulls(len(at), pa.int64())
     return pa.table([pa.array(own[at]), none, none, none, pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(df))], schema=_SHARED)
@@ -138,19 +165,19 @@ def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str =
     """(sets, edges): sets are (id, n, rep) where rep is the smallest id with an equal set; edges are links (a, b) between
     representatives that, with the sets, connect every component fully."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    packed = _packed(own, k, _buckets(own))
-    facts = stored(packed.groupBy("bucket").applyInArrow(_shared_shingles, "id long, n long, d1 long, d2 long, shingles array<long>, df array<int>"), "shingles")
+    buckets = _buckets(own)
+    parts = _packed(own, k, buckets).groupBy("bucket").applyInArrow(_shared_shingles(buckets), "part int, ids binary, shingles binary, df binary")
+    facts = stored(parts.groupBy("part").applyInArrow(_gathered, "id long, n long, d1 long, d2 long, shingles array<long>, df array<int>"), "shingles")
     sets = facts.filter("n is not null").select("id", "n", "d1", "d2").distinct()
     reps = sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     sets = stored(sets.join(reps, ["n", "d1", "d2"]).select("id", "n", "rep"), "sets")
 
     # Only sets whose shared shingles could reach the threshold are indexed.
-    shared = facts.filter("shingles is not null").groupBy("id").agg(F.collect_list(F.struct("shingles", "df")).alias("x"), F.sum(F.size("shingles")).alias("s"))
+    shared = facts.filter("shingles is not null").select("id", "shingles", "df", F.size("shingles").alias("s"))
     prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("long")
     alone = F.col("n") - F.col("s")
     near = shared.join(sets.filter("id = rep and n > 0").groupBy("id").agg(F.max("n").alias("n")), "id").filter(alone < prefix)
-    flat = [F.flatten(F.col("x." + c)).alias(c) for c in ("shingles", "df")]
-    near = stored(near.select("id", "n", alone.alias("alone"), prefix.alias("p"), *flat), "similar-candidates")
+    near = stored(near.select("id", "n", alone.alias("alone"), prefix.alias("p"), "shingles", "df"), "similar-candidates")
     each = near.select("id", "n", "alone", "p", F.explode(F.arrays_zip("shingles", "df")).alias("x"))
     each = each.select("id", "n", "alone", "p", F.col("x.shingles").alias("s"), F.col("x.df").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
