@@ -29,6 +29,14 @@ def split(text):
     return WORD.findall((text or "").encode().translate(LOW))
 
 
+def utf8_of(text):
+    import pyarrow as pa
+
+    from linkloom.llm.common import utf8
+
+    return utf8(pa.array([text]))
+
+
 def prose(seed, n):
     r = random.Random(seed)
     return " ".join("".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "éd", "Ti"]) for _ in range(r.randint(1, 4))) for _ in range(n))
@@ -154,6 +162,22 @@ def check_lm(docs, rows, key="doc_id"):
     assert want == collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in rows)
 
 
+def test_lm_learns_from_all_documents(spark):
+    """More training documents than any fixed sample, in several slices; held-out ones are not learned."""
+    rows = [(i, f"one two {prose(i, 3)}") for i in range(7_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = docs.select("doc_id", "text", (F.col("doc_id") % 5 == 1).alias("held"))
+    slices = own.mapInArrow(lm._slices, lm._SLICE).cache()
+    top = [(int(words.word_hashes(*utf8_of("one"))[0].astype(np.int64)[0]), 6_000, 0)]
+    counts = lm.Counts(np.full(lm.RARE, 9999), np.full(lm.RARE, 300), top, 6_000)
+    start = lm.initial(counts)
+    weights, learned = lm.fit(slices, counts)
+    assert learned == lm.passes(counts) * sum(len(split(t)) + 1 for i, t in rows if i % 5 != 1)
+    assert {k: v.shape for k, v in weights.items()} == {k: v.shape for k, v in start.items()}
+    text = np.array([0, lm.END])  # what all documents share is better known than before
+    assert lm.score_tokens(weights, text[:1], np.array([1]))[0] > lm.score_tokens(start, text[:1], np.array([1]))[0]
+
+
 def test_lm(spark, messy, empty):
     got = lm.query(messy).collect()
     check_lm(messy.collect(), got)
