@@ -9,8 +9,8 @@
 3. Index lists are cut in blocks by set size. A set is looked up only in blocks of sizes that can be
    similar, and an entry stands only in those blocks that its position in its set still allows.
 4. Each set is first compared with the pivots of its lists (the set there with the fewest shingles of its own). Sets that are
-   linked with one pivot already share a component, so pairs among them are skipped. For the other
-   pairs of sets with a common pivot, the overlaps with the pivot bound the overlap of the two from
+   linked with one pivot already share a component, so groups() skips pairs among them. For the other
+   pairs, in links() for all pairs, of sets with a common pivot, the overlaps with the pivot bound the overlap of the two from
    both sides; only what these bounds leave open is compared set by set.
 
 All candidate tests are exact, up to equal 52-bit hashes of different shingles. Overlap is counted on
@@ -161,9 +161,10 @@ def _needed(n: str | Column, m: str | Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent) - 1e-9).cast("long")
 
 
-def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(sets, edges): sets are (id, n, rep) where rep is the smallest id with an equal set; edges are links (a, b) between
-    representatives that, with the sets, connect every component fully."""
+def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str = "doc_id", shortcut: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sets, edges): sets are (id, n, rep) where rep is the smallest id with an equal set; edges are all links (a, b) between
+    representatives, each once with a > b. With ``shortcut`` pairs that already share a component are left out and edges
+    lead to component names: they connect every component fully, but are not the links."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     buckets = _buckets(own)
     parts = _packed(own, k, buckets).groupBy("bucket").applyInArrow(_shared_shingles(buckets), "part int, ids binary, shingles binary, df binary")
@@ -195,14 +196,18 @@ def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str =
     to_pivot = to_pivot.withColumn("place", first).filter("place <= 2").select("x", "y", "nx", "ny", "place")
     told = stored(_overlaps(to_pivot, full), "pivot-overlaps")
     linked = told.filter(F.col("o") >= _needed("nx", "ny", percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(linked, "pivot-components")
 
-    # All other pairs of a list, block by block; pairs within one component are skipped.
+    # All other pairs of a list, block by block; with the shortcut, pairs within one component are skipped.
     by_pivot = told.filter("place = 1").select(F.col("x").alias("id"), F.col("y").alias("via"), F.col("o").alias("via_o"))
     entries = posts.select("s", "id", "n", "p", "pos").join(by_pivot, "id", "left")
-    entries = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = entries.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("s")
-    entries = stored(entries.join(several, "s", "left_semi"), "entries")
+    if shortcut:
+        label = components(linked, "pivot-components")
+        entries = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = entries.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("s")
+        entries = entries.join(several, "s", "left_semi")
+    else:
+        entries = entries.withColumn("component", F.col("id"))
+    entries = stored(entries, "entries")
     width = float(np.log(100 / percent)) or 1.0
     block = F.floor(F.log(F.col("n").cast("double")) / width + 1e-9).cast("int")
     entries = entries.withColumn("block", block)
@@ -228,7 +233,24 @@ def links(docs: DataFrame, k: int, percent: int, text: str = "text", key: str =
     open_ = pairs.filter((F.col("c") + F.least(beyond, rest) >= need) & (F.coalesce(F.col("most"), need) >= need))
     open_ = open_.select(F.col("idx").alias("x"), F.col("idy").alias("y"), "nx", "ny", F.lit(1).alias("place"))
     more = _overlaps(open_, full).filter(F.col("o") >= need).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return sets, label.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more)
+    if shortcut:
+        return sets, label.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b").unionByName(more)
+    edges = linked.unionByName(more)
+    return sets, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, n_links): with how many other documents each is linked, copies included; an id with several different sets
+    has the links of each of them added up. Empty sets have none."""
+    sets, edges = links(docs, k, percent, text, key)
+    sets = sets.filter("n > 0").select("id", "rep").distinct()
+    copies = sets.groupBy("rep").agg(F.count("*").alias("copies"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(copies, both["b"] == copies["rep"]).groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
+    own = sets.join(copies, "rep").join(near, "rep", "left").select("id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("l"))
+    own = own.groupBy("id").agg(F.sum("l").alias("n_links"))
+    ids = docs.select(F.col(key).cast("long").alias("id")).filter("id is not null").distinct()
+    return ids.join(own, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -240,7 +262,7 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, n, component) of every document with a non-null id; several rows of one id count as linked."""
-    sets, edges = links(docs, k, percent, text, key)
+    sets, edges = links(docs, k, percent, text, key, shortcut=True)
     # Equal sets and several sets of one id are links as well; empty sets link with nothing.
     own = sets.filter("n > 0").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionByName(own), "jaccard-components")

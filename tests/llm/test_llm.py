@@ -162,6 +162,28 @@ def check_lm(docs, rows, key="doc_id"):
     assert want == collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3)) for r in rows)
 
 
+def test_jaccard_links_are_all_pairs(spark):
+    """A group of different near copies has all its links, not a star; checked against brute force."""
+    base, r = prose(5, 120).split(), random.Random(6)
+    texts = []
+    for i in range(40):
+        own = list(base)
+        for _ in range(r.randint(1, 3)):
+            own[r.randrange(len(own))] = f"new{i}"
+        texts.append(" ".join(own))
+    texts += [texts[3], texts[3], texts[7], prose(8, 60), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bags = [{tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))} if (w := split(t)) else set() for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if bags[a] and 100 * len(bags[a] & bags[b]) >= 85 * len(bags[a] | bags[b])}
+    sets, edges = jaccard.links(docs, 4, 85)
+    rep = {x["id"]: x["rep"] for x in sets.collect()}
+    found = [(x["a"], x["b"]) for x in edges.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in near if rep[a] == a and rep[b] == b and a != b and bags[a] != bags[b]}
+    assert 40 <= len(found) < 40 * 39 // 2  # more than a star has
+    degree = collections.Counter(x for pair in near for x in pair)
+    assert {x["id"]: x["n_links"] for x in jaccard.link_counts(docs).collect()} == {i: degree[i] for i in range(len(texts))}
+
+
 def test_lm_learns_from_all_documents(spark):
     """More training documents than any fixed sample, in several slices; held-out ones are not learned."""
     rows = [(i, f"one two {prose(i, 3)}") for i in range(7_500)]
