@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import html.entities
-import json
 import re
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,6 +99,14 @@ def ngrams(words: Column, n: int) -> Column:
     if n == 1:
         return words
 
+    def pairs(w: Column) -> Column:
+        # The last word's pair has no second word; it is cut.
+        both = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+        return F.slice(both, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
+
+    if n == 2:
+        return once(words, pairs)
+
     def shifted(w: Column) -> Column:
         # Position i of the zip holds words i .. i + n - 1; the incomplete ones at the end are cut.
         columns = F.arrays_zip(*[F.slice(w, k, F.size(w)).alias(f"w{k}") for k in range(1, n + 1)])
@@ -123,36 +131,42 @@ def parse_scores(c: Column | str) -> Column:
     return F.from_json(F.replace(_col(c), F.lit("'"), F.lit('"')), "map<string,double>")
 
 
-def _code_point(number: Column) -> Column:
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+@cache
+def _names() -> str:
+    """All entity names with their characters in one string, common names first: a plan carries it as a
+    single constant, which costs nothing beside a map of two thousand entries."""
+    every = {k[1:-1]: v for k, v in ENTITIES.items()}
+    every |= {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";") and k[:-1] not in every}
+    return "".join(f"\x01{name}\x02{char}" for name, char in every.items()) + "\x01"
 
 
-def _names(common: dict[str, str] = ENTITIES) -> Column:
-    """Entity names without & and ; to their characters, as one constant map; common names first."""
-    every = {k[1:-1]: v for k, v in common.items()}
-    every |= {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";") and k[:-1] not in every}
-    return F.from_json(F.lit(json.dumps(every)), "map<string,string>")
+def in_text(value: Column, body: str) -> Column:
+    """``once`` with the body written in SQL, where ``x`` is the value: a long expression in one call."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
 
 
-def decode_entities(c: Column | str) -> Column:
-    """Named entities by table, numeric ones by rule, in a single pass: what a decoded entity leaves
-    is not read again, unknown names stay. Text without ``&`` is passed through."""
+_ENTITY = "&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"
 
-    def piece(p: Column) -> Column:
-        code = F.substring_index(p, ";", 1)
-        number = F.when(code.rlike("^#[xX]"), F.conv(F.substr(code, F.lit(3)), 16, 10).try_cast("bigint")).otherwise(
-            F.substr(code, F.lit(2)).try_cast("bigint")
-        )
-        found = F.when(code.startswith("#"), _code_point(number)).otherwise(F.try_element_at(_names(), code))
-        return F.concat(F.coalesce(found, F.concat(F.lit("&"), code, F.lit(";"))), F.substr(p, F.length(code) + 2))
 
-    def joined(parts: Column) -> Column:
-        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+def _decoding() -> str:
+    """SQL over ``x.text``; ``x.names`` is the table of names."""
+    code = "substring_index(p, ';', 1)"
+    number = f"CASE WHEN {code} RLIKE '^#[xX]' THEN try_cast(conv(substr({code}, 3), 16, 10) AS BIGINT) ELSE try_cast(substr({code}, 2) AS BIGINT) END"
+    character = (
+        f"get(transform(array({number}), n -> CASE WHEN n > 0 AND n < {0x110000} AND n NOT BETWEEN {0xD800} AND {0xDFFF} "
+        "THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') ELSE '\uFFFD' END), 0)"
+    )
+    named = (
+        f"get(transform(array(instr(x.names, concat('\x01', {code}, '\x02'))), at -> CASE WHEN at > 0 "
+        f"THEN substring_index(substr(x.names, at + length({code}) + 2, 8), '\x01', 1) END), 0)"
+    )
+    piece = f"concat(coalesce(CASE WHEN startswith(p, '#') THEN {character} ELSE {named} END, concat('&', {code}, ';')), substr(p, length({code}) + 2))"
+    joined = f"concat(get(parts, 0), array_join(transform(slice(parts, 2, size(parts)), p -> {piece}), ''))"
+    return f"CASE WHEN contains(x.text, '&') THEN get(transform(array(split(x.text, '{_ENTITY}')), parts -> {joined}), 0) ELSE x.text END"
 
-    def decode(x: Column) -> Column:
-        decoded = once(F.split(x, r"&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});)"), joined)
-        return F.when(F.contains(x, F.lit("&")), decoded).otherwise(x)
 
-    return once(_col(c), decode)
+def decode_entities(c: Column | str, empty_as_null: bool = False) -> Column:
+    """Named entities by table, numeric ones by rule, in a single pass: what a decoded entity leaves
+    is not read again, unknown names stay. Text without ``&`` is passed through."""
+    body = f"CASE WHEN x.text <> '' THEN {_decoding()} END" if empty_as_null else _decoding()
+    return in_text(F.struct(_col(c).alias("text"), F.lit(_names()).alias("names")), body)

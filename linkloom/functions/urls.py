@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.defaults import ARTICLE_PATH, PUBLIC_SUFFIXES, RAW_LINK_PATTERN
+from linkloom.defaults import ARTICLE_PATH, BLOG_PATTERN, PUBLIC_SUFFIXES, RAW_LINK_PATTERN
 
 
 def _col(c: Column | str) -> Column:
@@ -92,15 +92,29 @@ def host_endings(h: Column | str) -> Column:
     )
 
 
+def split_rules(rules: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
+    """Endings of the plain rules, of the ``*.`` rules, and of the ``!`` rules."""
+    exceptions = [r[1:] for r in rules if r.startswith("!")]
+    wildcards = [r[2:] for r in rules if r.startswith("*.")]
+    return [r for r in rules if not r.startswith(("!", "*."))], wildcards, exceptions
+
+
 def public_suffix(h: Column | str, suffixes: Sequence[str] = PUBLIC_SUFFIXES) -> Column:
-    """Longest known ending of a host; where none is known, the last label, which is the default rule of
-    public suffix lists. Empty for hosts without a dot and for addresses of digits.
+    """Public suffix of a host by the rules: an ending under an exception loses its first label; else the
+    longest ending that is a rule or one label longer than a ``*.`` rule; else the last label, the default
+    rule of such lists. Empty for hosts without a dot and for addresses of digits.
 
-    The list becomes a hash set inside the expression: no join and no shuffle. For a list kept as a
+    The rules become hash sets inside the expression: no join and no shuffle. For a list kept as a
     table use ``operators.relational.registered_domain_by_table``.
     """
-    known = F.filter(host_endings(h), lambda e: e.isin(list(suffixes)))
-    return F.coalesce(F.get(known, F.lit(0)), default_suffix(h))
+    plain, wildcards, exceptions = split_rules(suffixes)
+
+    def matched(endings: Column) -> Column:
+        excepted = F.get(F.filter(endings, lambda e: e.isin(exceptions)), F.lit(0))
+        fits = F.filter(endings, lambda e, i: e.isin(plain) | F.coalesce(F.get(endings, i + 1).isin(wildcards), F.lit(False)))
+        return F.coalesce(F.substr(excepted, F.instr(excepted, ".") + 1), F.get(fits, F.lit(0)))
+
+    return F.coalesce(once(host_endings(h), matched), default_suffix(h))
 
 
 def default_suffix(h: Column | str) -> Column:
@@ -136,7 +150,7 @@ def is_wiki(url: Column | str) -> Column:
 
 def is_blog(url: Column | str) -> Column:
     """``blog`` in the URL, or a year/month path."""
-    return _col(url).rlike("blog|[12][90][89012][0-9]/[01][0-9]").cast("int")
+    return _col(url).rlike(BLOG_PATTERN).cast("int")
 
 
 def is_attribution(link: Column | str) -> Column:

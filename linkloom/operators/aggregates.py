@@ -55,7 +55,7 @@ def dedupe(df: DataFrame, subset: Sequence[str], order: Sequence[str | Column])
 def groups_with(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
     """Rows of the groups that pass ``condition``, an aggregate predicate."""
     kept = df.groupBy(*keys).agg(condition.alias("_ok"), F.count("*").alias("_rows")).filter("_ok")
-    return attach(df, kept.drop("_ok"), keys, how="inner").drop("_rows")
+    return attach(df, kept.drop("_ok"), keys, how="inner", weight="_rows").drop("_rows")
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str], nulls: str = "complete") -> DataFrame:

@@ -10,9 +10,13 @@ question about the document tree is then a window over those rows:
                on that level before it
 * regions      a running balance of the region's opening and closing events
 
+* texts        a page's markup and visible text are one string each, with the offset of every token;
+               the text of an element is a piece of them between two offsets
+
 There is no join of elements with elements, so the work per page grows with its tokens and not with
-their square. The raw pages are shuffled once, by page key; all windows reuse that partitioning. A
-page is a single input row, so a group is never larger than one row of the source.
+their square. Each page is taken apart once, in its scan, and its tokens are shuffled once, by page key;
+all windows and the page's strings reuse that shuffle. A page is a single input row, so a group is never
+larger than one row of the source.
 
 Limits: misnested pairs such as ``<b><i></b></i>`` are nested again by position (the outer element
 ends at the later closing tag); a tag with an unbalanced quote is read as text.
@@ -20,7 +24,9 @@ ends at the later closing tag); a tag with an unbalanced quote is read as text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,22 +45,46 @@ from linkloom.defaults import (
     TOKEN,
     VOID_TAGS,
 )
-from linkloom.functions.text import context_window, decode_entities
+from linkloom.functions.text import context_window, decode_entities, in_text
 from linkloom.functions.urls import once
 
 PAGE_END = 2**31 - 1
+#: Pieces cut from one page are held together up to about this many characters.
+CUT_CHARS = 8 << 20
 _BEFORE = (W.unboundedPreceding, -1)
 _UP_TO = (W.unboundedPreceding, 0)
 
 
-def by_page(pages: DataFrame, key: str) -> DataFrame:
-    """Pages hashed by key into ``spark.sql.shuffle.partitions`` parts, or as many as the scan has splits.
+def page_partitions(pages: DataFrame) -> int:
+    """``spark.sql.shuffle.partitions``, or as many as the scans below have splits by their sizes.
 
-    The number is given explicitly because adaptive execution would merge parts by their compressed
-    size here, while everything after this shuffle works on tokens that are many times larger.
+    The sizes are statistics of the logical plan's leaves: nothing is planned or run for them.
+    """
+    conf, context = pages.sparkSession.conf, pages.sparkSession.sparkContext
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    split = max(1, int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit])
+    leaves = pages._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    # Data that Spark knows no size of counts as one part for each core.
+    splits = [size // split + 1 if size < 1 << 60 else context.defaultParallelism for size in sizes]
+    return max(int(conf.get("spark.sql.shuffle.partitions")), sum(splits))
+
+
+def page_arrays(pages: DataFrame, key: str = "page_id", html: str = "html", carry: Sequence[str] = ()) -> DataFrame:
+    """``key, page``, hashed by key; ``in_page`` reads the page's tokens, ``toks``, and the columns to carry.
+
+    Everything that needs tokens of these pages starts here, so that Spark takes a page apart once and
+    shuffles it once. The number of parts is given explicitly because adaptive execution would merge
+    parts by their compressed size here, while everything after this shuffle works on windows that need
+    several times as much. The one struct stands in an array so that all readers ask for the same column:
+    Spark would prune a plain struct for each of them, and shuffle it for each.
     """
-    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
-    return pages.repartition(n, key)
+    rows = pages.select(key, F.array(F.struct(token_array(html).alias("toks"), *carry)).alias("page"))
+    return rows.repartition(page_partitions(pages), key)
+
+
+def in_page(name: str) -> Column:
+    return F.element_at("page", 1)[name]
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -91,17 +121,23 @@ def attribute(tok: Column | str, name: str) -> Column:
     pattern = rf"(?is)^<[^\s/>]++(?:{other})*+[\s/]*+{name}\s*=\s*({quoted}|[^\s\"'>]++)"
     # Most tags have no attributes at all: do not run the pattern on those.
     value = F.when(F.contains(tok, F.lit("=")), F.regexp_extract(tok, pattern, 1))
-    return once(value, lambda v: F.when(v != "", decode_entities(F.regexp_replace(v, "^[\"']|[\"']$", ""))))
+    return decode_entities(F.regexp_replace(value, "^[\"']|[\"']$", ""), empty_as_null=True)
 
 
-def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per token: ``key, pos, tok, kind, tag``."""
-    raw = pages.select(key, F.posexplode(token_array(html)).alias("pos", "tok"))
+def token_rows(rows: DataFrame, key: str, toks: Column | str) -> DataFrame:
+    """One row per token of an array: ``key, pos, tok, kind, tag``."""
+    # The outer form: for the other one Spark would count the tokens of each page in a filter below the shuffle.
+    raw = rows.select(key, F.posexplode_outer(toks).alias("pos", "tok")).filter(F.col("tok").isNotNull())
     return raw.withColumn("tag", token_tag(F.col("tok"))).withColumn(
         "kind", token_kind(F.col("tok"), F.col("tag"))
     )
 
 
+def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """One row per token: ``key, pos, tok, kind, tag``."""
+    return token_rows(pages, key, token_array(html))
+
+
 def page_links(html: Column | str, pattern: str = LINK_PATTERN) -> Column:
     """Hrefs of the matching anchors of a page, in page order, as an array: no shuffle at all."""
     anchors = F.filter(token_array(html), lambda t: t.rlike(r"(?i)^<a\s"))
@@ -120,9 +156,14 @@ def html_elements(
     ``close_pos`` is the position of the token that ends the element (its own position for void
     elements, ``PAGE_END`` where the page stops first).
     """
+    return elements_of(page_arrays(pages, key, html), key, auto_close)
+
+
+def elements_of(arrays: DataFrame, key: str = "page_id", auto_close: Mapping[str, Sequence[str]] = AUTO_CLOSE) -> DataFrame:
+    """The same from the rows of ``page_arrays``."""
     tok = F.col("tok")
     rows = (
-        html_tokens(by_page(pages, key), key, html)
+        token_rows(arrays, key, in_page("toks"))
         .filter(F.col("kind").isin("open", "close", "void"))
         .select(
             key,
@@ -275,43 +316,110 @@ def parent_tags(elements: DataFrame, wanted: Column, key: str = "page_id") -> Da
 
 
 # --- text and markup of elements ---------------------------------------------------------------
-def with_page_tokens(
-    df: DataFrame, pages: DataFrame, key: str = "page_id", html: str = "html", carry: Sequence[str] = ()
-) -> DataFrame:
-    """Put the page's token array beside its elements; both sides are partitioned by page already."""
-    toks = by_page(pages, key).select(key, token_array(html).alias("toks"), *carry)
-    return df.join(toks.hint("merge"), key)
+def prefix_sums(numbers: Column, block: int = 64) -> Column:
+    """``[0, n0, n0 + n1, ...]`` of an array of integers.
+
+    Built block by block: appending to one long array would copy it for every number.
+    """
+    running = lambda a: f"aggregate({a}, cast(array() AS array<int>), (acc, v) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0) + v)))"
+    blocks = f"transform(sequence(0, greatest(size(x) - 1, 0), {block}), s -> {running(f'slice(x, s + 1, {block})')})"
+    ends = running("transform(b, y -> coalesce(try_element_at(y, -1), 0))")
+    shifted = "flatten(transform(b, (y, i) -> transform(y, z -> z + coalesce(get(e, i - 1), 0))))"
+    sums = f"get(transform(array({blocks}), b -> get(transform(array({ends}), e -> {shifted}), 0)), 0)"
+    return in_text(numbers, f"concat(array(0), {sums})")
+
+
+def page_texts(arrays: DataFrame, key: str = "page_id", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per page: its markup and its visible text, and where each token begins in them."""
+    toks = F.col("_toks")
+    one = arrays.select(key, in_page("toks").alias("_toks"), *[in_page(c).alias(c) for c in carry])
+    return one.select(
+        key,
+        F.array_join(toks, "").alias("_markup"),
+        F.array_join(F.filter(toks, is_text), "").alias("_text"),
+        prefix_sums(F.transform(toks, F.length)).alias("_m"),
+        prefix_sums(F.transform(toks, lambda t: F.when(is_text(t), F.length(t)).otherwise(0))).alias("_t"),
+        *carry,
+    )
+
+
+@dataclass(frozen=True)
+class Span:
+    """What to cut for an element: its visible text or its markup. ``of`` names the struct column with the
+    element's ``pos, close_pos, tag``; without it the row itself is the element."""
+
+    of: str = ""
+    markup: bool = False
 
+    def ends(self, row: Column) -> tuple[Column, Column]:
+        """Offsets of the first character and of the one after the last, in ``_text`` or ``_markup``."""
+        at = row.getField(self.of) if self.of else row
+        start, stop = at.getField("pos"), F.least(at.getField("close_pos"), F.size("_m") - 1)
+        if not self.markup:
+            # The tokens between the opening one and the one that ends the element.
+            first = F.get("_t", start + 1)
+            return first, F.greatest(F.get("_t", stop), first)
+        # From the opening token to the one that ends it; that one only where it is the element's own end.
+        last = F.substr("_markup", F.get("_m", stop) + 1, F.get("_m", stop + 1) - F.get("_m", stop))
+        own = F.coalesce(last.startswith("</") & (token_tag(last) == at.getField("tag")), F.lit(False))
+        return F.get("_m", start), F.get("_m", F.greatest(stop + own.cast("int"), start + 1))
 
-def text_between(toks: Column | str, start: Column, stop: Column) -> Column:
-    """Visible text of the tokens after ``start`` and before ``stop``, entities decoded."""
-    toks = F.col(toks) if isinstance(toks, str) else toks
-    length = F.least(stop, F.size(toks)) - start - 1
-    inner = F.slice(toks, start + 2, F.greatest(length, F.lit(0)))
-    return decode_entities(F.array_join(F.filter(inner, is_text), ""))
+    def cut(self, row: Column) -> Column:
+        first, after = self.ends(row)
+        return F.substr("_markup" if self.markup else "_text", first + 1, after - first)
 
 
-def markup_between(toks: Column | str, start: Column, stop: Column) -> Column:
-    """Markup of an element, from its opening token to the token that ends it.
+def cut_spans(rows: DataFrame, texts: DataFrame, spans: Mapping[str, Span], key: str = "page_id") -> DataFrame:
+    """``rows`` of elements with the texts of ``spans`` beside them, and the columns ``texts`` carries.
 
-    The ending token is included only where it is the element's own closing tag.
+    The rows of a page meet its strings in one row, which is joined once and cut for all of them. Where
+    the pieces of a page sum up to more than ``CUT_CHARS``, its rows are cut in several parts.
     """
-    toks = F.col(toks) if isinstance(toks, str) else toks
-    last = F.get(toks, stop)
-    opened = token_tag(F.get(toks, start))
-    own_end = F.coalesce(last.startswith("</") & (token_tag(last) == opened), F.lit(False))
-    length = F.least(stop, F.size(toks)) - start + own_end.cast("int")
-    return F.array_join(F.slice(toks, start + 1, F.greatest(length, F.lit(1))), "")
+    own = [c for c in rows.columns if c != key]
+    carry = [c for c in texts.columns if c not in (key, "_markup", "_text", "_m", "_t")]
+    grouped = rows.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("_rows"))
+    both = texts.hint("merge").join(grouped, key)
+
+    def size(row: Column) -> Column:
+        lengths = [F.coalesce(after - first, F.lit(0)) for first, after in (s.ends(row) for s in spans.values())]
+        return F.floor(reduce(lambda a, b: a + b, lengths) / 64).cast("int") + 1
+
+    def parts(all_: Column) -> Column:
+        def dealt(sums: Column) -> Column:
+            number = lambda i: F.floor(F.get(sums, i) / (CUT_CHARS // 64)).cast("int")
+            of_part = lambda p: F.filter(all_, lambda _, i: number(i) == p)
+            every = F.array_distinct(F.transform(all_, lambda _, i: number(i)))
+            return F.when(F.size(every) == 1, F.array(all_)).otherwise(F.transform(every, of_part))
+
+        return once(prefix_sums(F.transform(all_, size)), dealt)
+
+    both = both.withColumn("_part", F.explode(parts(F.col("_rows")))).drop("_rows")
+    piece = lambda r: F.struct(*[r.getField(c).alias(c) for c in own], *[s.cut(r).alias(n) for n, s in spans.items()])
+    out = both.select(key, *carry, F.inline(F.transform("_part", piece)))
+    decoded = {n: decode_entities(F.col(n)) for n, s in spans.items() if not s.markup}
+    return out.select(key, *own, *[decoded.get(n, F.col(n)).alias(n) for n in spans], *carry)
 
 
 def element_text(
     pages: DataFrame, elements: DataFrame, key: str = "page_id", html: str = "html", short_as_none: bool = False
 ) -> DataFrame:
-    """``text`` per element; ``short_as_none`` writes the word ``None`` for texts under two characters."""
-    text = text_between("toks", F.col("pos"), F.col("close_pos"))
+    """``text`` per element; ``short_as_none`` writes the word ``None`` for texts under two characters.
+
+    ``elements`` are rows of ``html_elements`` of the same pages: both read one shuffle of tokens.
+    """
+    out = cut_spans(elements, page_texts(page_arrays(pages, key, html), key), {"text": Span()}, key)
     if short_as_none:
-        text = F.when(F.length(text) < 2, F.lit("None")).otherwise(text)
-    return with_page_tokens(elements, pages, key, html).withColumn("text", text).drop("toks")
+        out = out.withColumn("text", F.when(F.length("text") < 2, F.lit("None")).otherwise(F.col("text")))
+    return out
+
+
+def preceding_heading(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Every element with the text of the last heading opened before it; NULL where there is none."""
+    before = W.partitionBy(key).orderBy("pos").rowsBetween(*_BEFORE)
+    arrays = page_arrays(pages, key, html)
+    mark = F.when(F.col("tag").rlike(HEADING), F.struct("pos", "close_pos", "tag"))
+    rows = elements_of(arrays, key).withColumn("_heading", F.last(mark, True).over(before))
+    return cut_spans(rows, page_texts(arrays, key), {"heading": Span("_heading")}, key).drop("_heading")
 
 
 def fragment_text(fragment: Column | str) -> Column:
@@ -323,15 +431,26 @@ def fragment_text(fragment: Column | str) -> Column:
 
 # --- links in their place ----------------------------------------------------------------------
 def linked_pages(pages: DataFrame, pattern: str = LINK_PATTERN, html: str = "html") -> DataFrame:
-    """Pages with a matching link; others cannot give a row, so they are dropped before any shuffle."""
-    anchors = F.col(html).rlike(r"(?i)<a\s")
-    return pages.filter(F.when(anchors, F.size(page_links(html, pattern)) > 0).otherwise(F.lit(False)))
+    """Pages that may hold a matching link; others cannot give a row, so they are dropped before any shuffle.
+
+    A test of the raw page, which may let too much through: which links match is decided on the tokens.
+    The pattern has to stand somewhere in the page, or an entity that could decode to a part of it. With
+    a pattern that looks at the ends of the href every page with an anchor stays.
+    """
+    raw = F.col(html)
+    anchors = raw.rlike(r"<[aA]\s")
+    if re.search(r"[\^$]|\\[bBAZzG]|\(\?[=!<]", pattern):
+        return pages.filter(anchors)
+    # The most frequent entities cannot help a pattern of plain letters and classes of them.
+    plain = not re.search(r"(?<!\\)\.|\[\^|\\[WSD]|[&<>\"'\s]", pattern)
+    entity = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|copy);)[#A-Za-z]" if plain else r"&[#A-Za-z]"
+    return pages.filter(anchors & (raw.rlike(pattern) | raw.rlike(entity)))
 
 
 def _anchors_with_ancestors(
-    pages: DataFrame, pattern: str, regions: Mapping[str, Column], key: str, html: str, headings: bool
+    arrays: DataFrame, pattern: str, regions: Mapping[str, Column], key: str, headings: bool
 ) -> DataFrame:
-    placed = element_regions(html_elements(pages, key, html), regions, key)
+    placed = element_regions(elements_of(arrays, key), regions, key)
     is_link = (F.col("tag") == "a") & F.col("href").rlike(pattern)
     is_heading = F.col("tag").rlike(HEADING)
     wanted = is_link | is_heading if headings else is_link
@@ -339,7 +458,7 @@ def _anchors_with_ancestors(
     if headings:
         # The nearest heading opened before the link, with the place of its parent.
         before = W.partitionBy(key).orderBy("pos").rowsBetween(*_BEFORE)
-        mark = F.when(is_heading, F.struct("pos", "close_pos", F.col("up1.pos").alias("parent_pos")))
+        mark = F.when(is_heading, F.struct("pos", "close_pos", "tag", F.col("up1.pos").alias("parent_pos")))
         found = found.withColumn("heading", F.last(mark, True).over(before))
     return found.filter(is_link)
 
@@ -357,21 +476,18 @@ def link_contexts(
     ``only_para`` keeps markup and text only where the parent (grandparent) is a paragraph. Columns of
     ``pages`` named in ``carry`` come along.
     """
-    pages = linked_pages(pages, pattern, html)
-    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, {}, key, html, False), pages, key, html, carry)
-    para = lambda up, value: F.when(F.col(f"{up}.tag") == "p", value) if only_para else value
-    span = lambda up, cut: cut("toks", F.col(f"{up}.pos"), F.col(f"{up}.close_pos"))
-    return links.select(
-        key,
-        "pos",
-        F.col("up1.tag").alias("a1"),
-        text_between("toks", F.col("pos"), F.col("close_pos")).alias("hypertext"),
-        para("up1", span("up1", text_between)).alias("raw_text"),
-        F.col("up2.tag").alias("a2"),
-        F.col("href").alias("wiki_url"),
-        para("up1", span("up1", markup_between)).alias("text1"),
-        para("up2", span("up2", markup_between)).alias("text2"),
-        *carry,
+    arrays = page_arrays(linked_pages(pages, pattern, html), key, html, carry)
+    links = _anchors_with_ancestors(arrays, pattern, {}, key, False).drop("cls", "eid", "up3")
+    if only_para:  # other parents are not cut at all
+        a1, a2 = F.col("up1.tag"), F.col("up2.tag")
+        para = lambda up: F.when(F.col(f"{up}.tag") == "p", F.col(up))
+        links = links.withColumns({"a1": a1, "a2": a2}).withColumns({"up1": para("up1"), "up2": para("up2")})
+    else:
+        links = links.withColumns({"a1": F.col("up1.tag"), "a2": F.col("up2.tag")})
+    spans = {"hypertext": Span(), "raw_text": Span("up1"), "text1": Span("up1", True), "text2": Span("up2", True)}
+    found = cut_spans(links, page_texts(arrays, key, carry), spans, key)
+    return found.select(
+        key, "pos", "a1", "hypertext", "raw_text", "a2", F.col("href").alias("wiki_url"), "text1", "text2", *carry
     )
 
 
@@ -387,26 +503,21 @@ def link_features(
 ) -> DataFrame:
     """Flat feature row per link: regions, heading, neighbourhood, parents, depth, columns to ``carry``."""
     regions = region_predicates(tags, groups)
-    pages = linked_pages(pages, pattern, html)
-    links = with_page_tokens(_anchors_with_ancestors(pages, pattern, regions, key, html, True), pages, key, html, carry)
+    arrays = page_arrays(linked_pages(pages, pattern, html), key, html, carry)
+    links = _anchors_with_ancestors(arrays, pattern, regions, key, True).drop("cls", "eid")
     # A heading counts only if it stands beside the link's grandparent.
-    near = F.col("heading.parent_pos") == F.col("up3.pos")
-    text = lambda s: text_between("toks", F.col(f"{s}.pos"), F.col(f"{s}.close_pos"))
-    # The two texts are columns of their own first: the window below mentions each several times.
-    links = links.withColumns(
-        {
-            "hypertext": text_between("toks", F.col("pos"), F.col("close_pos")),
-            "_around": text("up2"),
-        }
-    )
-    return links.select(
+    near = F.when(F.col("heading.parent_pos") == F.col("up3.pos"), F.col("heading"))
+    links = links.withColumns({"heading": near, "a1": F.col("up1.tag"), "a2": F.col("up2.tag")}).drop("up1", "up3")
+    spans = {"hypertext": Span(), "_around": Span("up2"), "header": Span("heading")}
+    found = cut_spans(links, page_texts(arrays, key, carry), spans, key)
+    return found.select(
         key,
         "pos",
         "href",
         "depth",
-        F.col("up1.tag").alias("a1"),
-        F.col("up2.tag").alias("a2"),
-        F.when(near, text("heading")).alias("header"),
+        "a1",
+        "a2",
+        "header",
         "hypertext",
         context_window("_around", "hypertext", n).alias("nbhd_text"),
         *regions,

@@ -6,11 +6,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.defaults import ORDER_NAMES
 from linkloom.functions import urls as U
 from linkloom.operators.skew import attach
+from linkloom.operators.windows import in_ranges
 
 
 # --- projection and null handling ----------------------------------------------------------------
@@ -66,17 +68,31 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str
 
 
 def concat_text_by_group(
-    df: DataFrame, key: str, text: str, order: str, sep: str = " ", part_size: int = 1000
+    df: DataFrame, key: str, text: str, order: str, sep: str = " ", part_bytes: int = 16 << 20
 ) -> DataFrame:
-    """All texts of a group in order, in parts of at most ``part_size`` order numbers each.
-
-    ``order`` numbers the rows of a group; the parts bound what one task has to hold, and together
-    they are the whole text. To count words per class use ``class_tf_idf``, which needs no such text.
+    """All texts of a group in order, in numbered parts: ``key, part, text``.
+
+    A text belongs to part k if the texts of its group before it, separators not counted, have k *
+    ``part_bytes`` bytes or more, and fewer than (k + 1) * ``part_bytes``. So a part holds at most
+    ``part_bytes`` and one more text, whatever the order values are: equal and missing ones are put in
+    the order of the texts, missing ones first. Rows without a text are left out. Groups are spread over
+    range partitions; the bytes before a row are those in its partition and in the group's partitions before.
+    To count words per class use ``class_tf_idf``, which needs no such text.
     """
-    part = F.floor(F.col(order) / part_size).alias("part")
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    joined = F.array_join(F.transform(items, lambda s: s["t"]), sep)
-    return df.groupBy(key, part).agg(joined.alias(text))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(text).alias("_text"))
+    ranged = in_ranges(rows, ["_key", "_order", "_text"]).withColumn("_bytes", F.octet_length("_text").cast("long"))
+    inside = W.partitionBy("_part", "_key").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each partition a group has rows in.
+    sums = ranged.groupBy("_key", "_part").agg(F.sum("_bytes").alias("_n"))
+    sums = sums.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum("_bytes").over(inside), F.lit(0)))
+    placed = placed.join(sums, [placed["_key"].eqNullSafe(sums["_key"]), placed["_part"] == sums["_part"]]).select(
+        placed["_key"], placed["_part"], "_place", "_text", F.floor((F.col("_before") + F.col("_inside")) / part_bytes).alias("part")
+    )
+    items = F.array_sort(F.collect_list(F.struct("_part", "_place", "_text")))
+    joined = F.array_join(F.transform(items, lambda s: s["_text"]), sep)
+    return placed.groupBy("_key", "part").agg(joined.alias(text)).withColumnRenamed("_key", key)
 
 
 # --- sets ------------------------------------------------------------------------------------------
@@ -118,20 +134,37 @@ def with_order_names(df: DataFrame, order: str = "order") -> DataFrame:
     return df.join(F.broadcast(names), order)
 
 
-def registered_domain_by_table(df: DataFrame, url: str, suffixes: DataFrame) -> DataFrame:
-    """``domain`` and ``suffix`` per row, from a suffix table ``(suffix)`` of any size.
+def suffix_rules(lines: DataFrame, rule: str = "rule") -> DataFrame:
+    """(ending, kind) of a public suffix list in its text form, one rule a row.
 
-    Hosts are reduced to distinct ones first, matched by equi join on their endings, and attached.
+    ``kind`` is ``plain``, ``wildcard`` (``*.`` before the ending) or ``exception`` (``!``). A line ends at
+    its first blank; empty lines and ``//`` comments are no rules; case does not matter.
+    """
+    text = F.lower(F.regexp_extract(rule, r"^\s*(\S+)", 1))
+    kind = F.when(text.startswith("!"), "exception").when(text.startswith("*."), "wildcard").otherwise("plain")
+    rules = lines.filter((text != "") & ~text.startswith("//"))
+    return rules.select(F.regexp_replace(text, r"^(?:!|\*\.)", "").alias("ending"), kind.alias("kind")).distinct()
+
+
+def registered_domain_by_table(df: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """``domain`` and ``suffix`` per row, from a rule table ``(ending, kind)`` of any size.
+
+    Hosts are reduced to distinct ones first. Their endings meet the rules in one equi join; an exception
+    gives the ending without its first label and wins, a wildcard gives the ending one label longer, and
+    among the others the longest counts. The results are attached to the rows.
     """
     hosted = df.withColumn("_host", U.host(url))
     hosts = hosted.groupBy("_host").agg(F.count("*").alias("_rows"))
-    endings = hosts.select("_host", "_rows", F.explode(U.host_endings("_host")).alias("suffix"))
-    best = (
-        endings.join(suffixes.select("suffix", F.lit(True).alias("_known")).distinct(), "suffix", "left")
-        .groupBy("_host", "_rows")
-        .agg(F.max_by("suffix", F.when(F.col("_known"), F.length("suffix"))).alias("suffix"))
-    )
-    # Without a known ending the last label counts, the default rule of public suffix lists.
+    asked = hosts.withColumn("_all", U.host_endings("_host"))
+    asked = asked.select("_host", "_rows", "_all", F.posexplode("_all").alias("_i", "ending"))
+    longer, shorter = F.get("_all", F.col("_i") - 1), F.get("_all", F.col("_i") + 1)
+    asked = asked.select("_host", "_rows", "ending", longer.alias("_longer"), shorter.alias("_shorter"))
+    suffix = F.when(F.col("kind") == "exception", F.col("_shorter")).when(F.col("kind") == "wildcard", F.col("_longer")).otherwise(F.col("ending"))
+    found = asked.join(rules.select("ending", "kind"), "ending", "left")
+    found = found.withColumn("_suffix", F.when(F.col("kind").isNotNull(), suffix))
+    order = F.when(F.col("_suffix").isNotNull(), F.struct(F.col("kind") == "exception", F.length("_suffix")))
+    best = found.groupBy("_host", "_rows").agg(F.max_by("_suffix", order).alias("suffix"))
+    # Without a rule the last label counts, the default rule of public suffix lists.
     best = best.withColumn("suffix", F.coalesce("suffix", U.default_suffix("_host")))
     best = best.select("_host", "_rows", U.domain_of("_host", F.col("suffix")).alias("domain"), "suffix")
     out = attach(hosted, best, ["_host"], weight="_rows")

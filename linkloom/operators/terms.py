@@ -15,7 +15,6 @@ from linkloom.operators.aggregates import normalise, shannon_entropy
 from linkloom.operators.sampling import sample_fraction, sample_per_group
 from linkloom.operators.skew import attach
 from linkloom.operators.windows import top_n_per_group
-from linkloom.session import cut_lineage
 
 #: Rows of a language profile up to which it is broadcast.
 BROADCAST_PROFILE = 500_000
@@ -166,22 +165,24 @@ def learn_profiles(df: DataFrame, lang: str, text: str, k: int = 200) -> DataFra
 
 
 def detect_language(
-    df: DataFrame, ids: Sequence[str], text: str, profiles: DataFrame, fallback: str | None = None, name: str = "detected"
+    df: DataFrame, ids: Sequence[str], text: str, profiles: DataFrame, fallback: str | None = None, name: str = "detected", large: bool = False
 ) -> DataFrame:
     """Language whose profile words carry the most weight in a text; ``fallback`` where none occurs.
 
-    The profile (languages x k rows) is kept once and broadcast up to ``BROADCAST_PROFILE`` rows, so words
-    meet it where they stand and only sums per text and language are shuffled; a larger profile is joined
-    on counted words. The result is joined back to ``df`` by id, so pass only the columns that are
-    needed further on.
+    A profile has languages x k rows. Up to ``BROADCAST_PROFILE`` of them, the ones of largest weight, are
+    broadcast, so words meet them where they stand and only sums per text and language are shuffled; the
+    rows of a ``large`` profile beyond those are joined on counted words. The result is joined back to
+    ``df`` by id, so pass only the columns that are needed further on.
     """
-    profiles = cut_lineage(profiles.select("lang", "term", "weight"))
-    if profiles.count() <= BROADCAST_PROFILE:
-        hits = df.select(*ids, F.explode(terms_of(text)).alias("term")).join(F.broadcast(profiles), "term")
-        scores = hits.groupBy(*ids, "lang").agg(F.sum("weight").alias("score"))
-    else:
-        hits = term_counts(df, ids, text).join(profiles, "term")
-        scores = hits.groupBy(*ids, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    profiles = profiles.select("lang", "term", "weight")
+    order = [F.desc("weight"), F.col("lang"), F.col("term")]
+    first = profiles.orderBy(*order).limit(BROADCAST_PROFILE)
+    hits = df.select(*ids, F.explode(terms_of(text)).alias("term")).join(F.broadcast(first), "term")
+    scores = hits.groupBy(*ids, "lang").agg(F.sum("weight").alias("score"))
+    if large:
+        rest = profiles.join(F.broadcast(first.select("lang", "term")), ["lang", "term"], "left_anti")
+        more = term_counts(df, ids, text).join(rest, "term").groupBy(*ids, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+        scores = scores.unionByName(more).groupBy(*ids, "lang").agg(F.sum("score").alias("score"))
     best = scores.groupBy(*ids).agg(F.max(F.struct(F.round("score", 9).alias("score"), "lang")).alias("_best"))
     out = df.join(best, list(ids), "left")
     return out.withColumn(name, F.coalesce(F.col("_best.lang"), F.lit(fallback).cast("string"))).drop("_best")

@@ -1,7 +1,8 @@
 """Group statistics beside each row, ranks and buckets.
 
 A window over an unbounded group puts the group into one task. Group statistics are therefore
-aggregated (with map-side partial sums) and attached; ranks over a whole table are split into ranges.
+aggregated (with map-side partial sums) and attached; a rank over a whole table is the row's place in its
+range partition and the number of rows in the partitions before.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.operators.skew import attach
+from linkloom.session import cut_lineage
 
-RANGES = 256
+#: ``monotonically_increasing_id`` counts a partition's rows below this bit and the partitions above it.
+_ROW_BITS = 33
 
 
 def group_count(df: DataFrame, keys: Sequence[str], column: str | None = None, name: str = "group_count") -> DataFrame:
@@ -47,29 +50,50 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def in_ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Rows sorted over the whole table, with their range partition ``_part`` and place in it, ``_place`` from 0.
+
+    Spark cuts the ranges from a sample of the rows, as many as the shuffle has partitions. The result is
+    kept in the shared folder: the partition of a row must be the same in all that reads it.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = cut_lineage(ranged)
+    return kept.withColumns({"_part": F.shiftright("_id", _ROW_BITS), "_place": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))}).drop("_id")
+
+
+def _before_part(ranged: DataFrame, weight: Column) -> DataFrame:
+    """``_part, _before``: the weight in all partitions before. One row for each partition, so the window
+    without a key and the broadcast are as small as the number of partitions."""
+    sums = ranged.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    return F.broadcast(sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Number 1 .. n of each row in the order of the whole table, rows in that order.
+
+    Give the order a tie-break (an id): only then are numbers the same in every run, and only then can a
+    value that very many rows share be split over several partitions.
+    """
+    ranged = in_ranges(df, order)
+    placed = ranged.join(_before_part(ranged, F.lit(1)), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1)
+    return placed.select(*df.columns, name)
+
+
 def percent_rank_average(df: DataFrame, value: str, name: str = "pct") -> DataFrame:
     """Rank over row count, ties at their average rank. NULL values get NULL.
 
-    Ranks are computed on distinct values with their counts. Those are cut into ranges at approximate
-    quantiles (a job that returns at most ``RANGES`` numbers); each range is ranked by itself and
-    shifted by the rows of the ranges before it.
+    Ranks are computed on distinct values with their counts, so a value that half of all rows share is
+    one row. Those go to range partitions; the rows below a value are the counts before it in its
+    partition, and those of the partitions before.
     """
     vals = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_ties"))
-    v = F.col(value).cast("double")
-    steps = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(vals.select(v.alias("v")).approxQuantile("v", steps, 1 / (4 * RANGES))))
-    place = F.size(F.filter(F.lit(cuts), lambda c: c < v)) if cuts else F.lit(0)
-    vals = vals.withColumn("_range", place)
-    # At most RANGES rows: the only window without a partition works on those.
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shift = vals.groupBy("_range").agg(F.sum("_ties").alias("_n")).select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
-    )
-    inside = W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = vals.join(F.broadcast(shift), "_range").withColumn(
-        "_below", F.col("_shift") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))
+    ranged = in_ranges(vals, [value])
+    inside = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    ranked = ranged.join(_before_part(ranged, F.col("_ties")), "_part").withColumn(
+        "_below", F.col("_before") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))
     )
-    total = vals.agg(F.sum("_ties")).scalar()
+    total = ranged.agg(F.sum("_ties")).scalar()
     pct = (F.col("_below") + (F.col("_ties") + 1) / 2) / total
     return attach(df, ranked.select(value, pct.alias(name), "_ties"), [value], weight="_ties").drop("_ties")
 

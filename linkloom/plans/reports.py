@@ -226,10 +226,13 @@ def language_summary(links: DataFrame, top: int = 40) -> DataFrame:
     return per.orderBy(F.desc("n_title"), "wikidb").limit(top)
 
 
-def mention_counts(links: DataFrame, by: str, article_path: str = ARTICLE_PATH) -> DataFrame:
-    """R13, counts by title, domain or language: distinct article links with a known fragment column."""
+def mention_counts(links: DataFrame, by: Sequence[str], article_path: str = ARTICLE_PATH) -> DataFrame:
+    """R13, counts by title, domain, language: ``kind, name, n``, the distinct article links with a known
+    fragment column. One pass: each distinct link is one row for every column of ``by``."""
     articles = links.filter(F.contains("wiki_link", F.lit(article_path))).distinct()
-    return articles.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("subset").alias("n"))
+    names = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("name")) for c in by])
+    rows = articles.select("subset", F.inline(names)).filter(F.col("name").isNotNull())
+    return rows.groupBy("kind", "name").agg(F.count("subset").alias("n"))
 
 
 def pageview_totals(views: DataFrame) -> DataFrame:

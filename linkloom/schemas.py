@@ -41,3 +41,9 @@ def check_schema(df: DataFrame, schema: T.StructType, extra: bool = True) -> Dat
     if wrong:
         raise ValueError("schema mismatch: " + "; ".join(wrong))
     return df
+
+# The columns of the sheet for human coders, in their order.
+CODING_SHEET = (
+    "url", "num_wiki_on_url", "domain", "subdomain", "parent_1", "parent_2",
+    "title", "context", "text", "total_count", "total_views", "topic_leaf",
+)

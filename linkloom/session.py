@@ -13,6 +13,9 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Recording the Python call site of every expression costs more than planning the query.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # The plans over pages have more generated classes than the default cache of 100 keeps, and would be
+    # compiled again and again by every task.
+    "spark.sql.codegen.cache.maxEntries": "4000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

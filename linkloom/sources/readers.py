@@ -30,6 +30,17 @@ def read_table(
 read_pages = read_table
 
 
+def with_page_key(pages: DataFrame, name: str = "page_key") -> DataFrame:
+    """A key for the rows of a file scan: the digest of the file's path and the row's number in the file.
+
+    Pages have no key of their own, and urls repeat. The key is the same in every run over the same
+    files, and no two rows share it. It is taken from the scan itself, so call this on what
+    ``read_pages`` gives, before any other step.
+    """
+    at = F.concat_ws(":", F.md5(F.col("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    return pages.select("*", at.alias(name))
+
+
 def list_inputs(
     spark: SparkSession, path: str, glob: str = "*.parquet", exclude: Sequence[str] = ()
 ) -> DataFrame:
@@ -60,7 +71,7 @@ def merge_parts(spark: SparkSession, glob: str, merge_schema: bool = False) -> D
 
 def union_tagged(frames: Mapping[str, DataFrame], tag: str = "wikidb") -> DataFrame:
     """Union by name, each frame marked with its tag."""
-    tagged = [df.withColumn(tag, F.lit(name)) for name, df in frames.items()]
+    tagged = [df.withColumn(tag, F.lit(name).cast("string")) for name, df in frames.items()]
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
@@ -72,6 +83,13 @@ def read_tagged(
     return df.withColumn(tag, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(ending, kind) of a public suffix list in its text form; see ``operators.relational.suffix_rules``."""
+    from linkloom.operators.relational import suffix_rules
+
+    return suffix_rules(spark.read.schema("rule string").text(path))
+
+
 def read_domain_ranks(spark: SparkSession, path: str, schema: T.StructType | str, partitions: int | None = None) -> DataFrame:
     """Tab-separated web-graph ranks with a header, hosts written backwards in ``#host_rev``.
 

@@ -20,7 +20,8 @@ def write_by_language(
     mode: str = "overwrite",
     max_records: int = 5_000_000,
 ) -> None:
-    """All languages in one pass, one folder each. Rows stay where they are (no shuffle), so a large
+    """All languages in one pass, one folder each; rows without one go to the default folder, which reads back
+    as NULL. ``languages`` writes only the listed ones. Rows stay where they are (no shuffle), so a large
     language is written by many tasks; ``max_records`` bounds the size of a file."""
     if languages is not None:
         df = df.filter(F.col(column).isin(list(languages)))

@@ -37,21 +37,20 @@ def j3(t):
 
 @query(
     "j4_parent_tags",
-    f"WITH {LINKED}, {elements('linked')}, {UPS} SELECT el.page_id, el.pos, a1, a2 FROM el JOIN ups USING (page_id, pos) "
-    "WHERE el.tag IN ('a', 'p', 'b', 'h1')",
+    f"WITH {LINKED}, {elements('linked')}, {UPS} SELECT el.page_id, el.pos, a1, a2 FROM el LEFT JOIN ups USING (page_id, pos)",
 )
 def j4(t):
-    found = H.parent_tags(H.html_elements(linked_pages(t)), F.col("tag").isin("a", "p", "b", "h1"))
+    found = H.parent_tags(H.html_elements(linked_pages(t)), F.lit(True))
     return found.select("page_id", "pos", "a1", "a2")
 
 
 @query(
     "j5_element_text",
-    f"WITH {elements()}, b AS (SELECT * FROM el WHERE tag IN ('h1', 'footer', 'p', 'b', 'a', 'title')), "
+    f"WITH {elements()}, b AS (SELECT * FROM el), "
     f"{span_text('b', 'tx', 'pos', 'close_pos')} SELECT page_id, pos, CASE WHEN length(txt) < 2 THEN 'None' ELSE txt END AS text FROM tx",
 )
 def j5(t):
-    el = H.html_elements(t("pages")).filter(F.col("tag").isin("h1", "footer", "p", "b", "a", "title"))
+    el = H.html_elements(t("pages"))
     return H.element_text(t("pages"), el, short_as_none=True).select("page_id", "pos", "text")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkloom.defaults import PUBLIC_SUFFIXES
 from linkloom.functions import text as X
 from linkloom.functions import urls as U
 from linkloom.operators import html as H
 from linkloom.operators import relational as R
 from linkloom.sources.readers import spread
 from queries.registry import Tables, query, rnd
-from queries.sqlparts import HREF_ALL, LINKED, SITES, elements, host
+from queries.sqlparts import HREF_ALL, LINKED, MOVED_ENDINGS, MOVED_SITES, elements, host
 
 HREFS = f"hrefs AS (SELECT page_id, {HREF_ALL} AS hs FROM pages)"
 TEXTS = """regexp_extract_all(html, '<a\\s[^>]*>([^<]*)</a>', 1)"""
@@ -223,10 +224,11 @@ def c5(t):
 
 @query(
     "c6_concat_text",
-    "SELECT conv_id, floor(turn / 1000)::BIGINT AS part, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1, 2",
+    "WITH b AS (SELECT conv_id, turn, text, coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n "
+    "FROM conversations WHERE text IS NOT NULL) SELECT conv_id, floor(n / 200)::BIGINT AS part, string_agg(text, ' ' ORDER BY turn, text) AS text FROM b GROUP BY 1, 2",
 )
 def c6(t):
-    return R.concat_text_by_group(t("conversations"), "conv_id", "text", "turn")
+    return R.concat_text_by_group(t("conversations"), "conv_id", "text", "turn", part_bytes=200)
 
 
 @query(
@@ -318,11 +320,11 @@ def d7(t):
 
 @query(
     "d8_inside_region",
-    f"WITH {elements()} SELECT e.page_id, e.pos, coalesce(bool_or(r.tag = 'article'), false) AS in_article, "
+    f"WITH {elements()} SELECT e.page_id, e.pos, coalesce(bool_or(r.tag = 'article'), false) OR any_value(e.tag) = 'article' AS in_article, "
     "coalesce(bool_or(r.tag = 'footer'), false) OR any_value(e.tag) = 'footer' AS in_footer, "
     "coalesce(bool_or(r.cls = 'ad'), false) OR coalesce(any_value(e.cls) = 'ad', false) AS in_ad "
     "FROM el e LEFT JOIN el r ON r.page_id = e.page_id AND r.pos < e.pos AND e.pos < r.close_pos "
-    "WHERE e.tag IN ('p', 'b', 'h1', 'footer', 'div') GROUP BY e.page_id, e.pos",
+    "GROUP BY e.page_id, e.pos",
 )
 def d8(t):
     named = {
@@ -331,15 +333,21 @@ def d8(t):
         "in_ad": F.col("cls") == "ad",
     }
     placed = H.element_regions(H.html_elements(t("pages")), named)
-    return placed.filter(F.col("tag").isin("p", "b", "h1", "footer", "div")).select("page_id", "pos", *named)
+    return placed.select("page_id", "pos", *named)
 
 
-@query("d9_registered_domain", f"WITH {SITES} SELECT page_id, domain, suffix FROM sites")
-def d9(t):
-    from linkloom.defaults import PUBLIC_SUFFIXES
+def moved_sites(t: Tables):
+    """(page_id, h): the hosts of all pages under endings of every kind of suffix rule, and as they are."""
+    pages = t("pages").select("page_id", U.host("url").alias("h"))
+    endings = F.array(*[F.lit(e) for e in MOVED_ENDINGS])
+    ending = F.get(endings, F.pmod("page_id", F.lit(len(MOVED_ENDINGS))).cast("int"))
+    return pages.select("page_id", F.concat_ws(".", "h", ending).alias("h")).unionByName(pages)
+
 
-    table = t.spark.createDataFrame([(s,) for s in PUBLIC_SUFFIXES], "suffix string")
-    return R.registered_domain_by_table(t("pages").select("page_id", "url"), "url", table).drop("url")
+@query("d9_registered_domain", f"WITH {MOVED_SITES} SELECT page_id, h, domain, suffix FROM sites")
+def d9(t):
+    lines = t.spark.createDataFrame([(s,) for s in ("// rules", "", *PUBLIC_SUFFIXES)], "rule string")
+    return R.registered_domain_by_table(moved_sites(t), "h", R.suffix_rules(lines))
 
 
 @query(
@@ -368,7 +376,7 @@ def h3(t):
     return R.difference_by_key(t("documents").select("doc_id"), t("labels"), ["doc_id"])
 
 
-def linked_pages(t: Tables):
+def linked_pages(t: Tables, pages=None):
     """The page table with links to an encyclopedia put into it: menu, footer, advert, first paragraph."""
     base = F.concat(F.lit("https://"), F.regexp_extract("url", "/(en|fr|de|es)/", 1), F.lit(".wikipedia.org/wiki/"))
     link = lambda name, label: F.concat(F.lit('<a href="'), base, F.lit(f'{name}">{label}</a>'))
@@ -381,4 +389,4 @@ def linked_pages(t: Tables):
     html = F.col("html")
     for old, new in changes:
         html = F.replace(html, old, new)
-    return spread(t("pages")).select("page_id", "url", html.alias("html"))
+    return spread(t("pages") if pages is None else pages).withColumn("html", html)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
 from linkloom.operators import html as H
-from linkloom.operators import relational as R
 from linkloom.operators import terms as K
+from linkloom.operators import sampling as S
 from linkloom.plans import reports as P
 from linkloom.session import cut_lineage
 from linkloom.sources import writers
@@ -15,7 +15,7 @@ from queries.registry import Tables, query, rnd
 from queries.markup import FEATURES
 from queries.relational import linked_pages
 from queries.sqlparts import (
-    HREF_ALL, LINKED, SITES, UPS, cleaned, context, elements, hash_number, host, quoted, sample_hash,
+    HREF_ALL, LINKED, SITES, UPS, cleaned, context, decoded, elements, hash_number, host, quoted, sample_hash,
     span_markup, span_text, tf_idf, title, words,
 )
 from queries.words import PROFILES, STOP, counts_sql, docs, profiles
@@ -71,8 +71,9 @@ def r3(t):
 )
 def r3b(t):
     path = t.scratch("language-tables")
-    writers.write_by_language(link_table(t), path, ["en", "fr", "de", "es"])
-    return t.spark.read.parquet(path).select("wikidb", "domain", "url", "title")
+    links = link_table(t)
+    writers.write_by_language(links, path)
+    return t.spark.read.schema(links.schema).parquet(path).select("wikidb", "domain", "url", "title")
 
 
 CONTEXTS = (
@@ -105,44 +106,65 @@ def r5(t):
 
 
 RANKS = "SELECT domain, count(*) AS harmonic FROM sites GROUP BY 1"
-ARTICLES = "SELECT title, 'T' || (n % 3) AS topic_leaf, n AS total_count FROM (SELECT title, count(*) AS n FROM web GROUP BY 1)"
+ARTICLES = (
+    "SELECT title, 'T' || (n % 3) AS topic_leaf, n AS total_count, size AS total_views FROM "
+    "(SELECT title, count(*) AS n, sum(length(text1)) AS size FROM web GROUP BY 1)"
+)
+# Text of the parent's markup and the facts about urls, sites and articles.
+CODING = (
+    f"{CLEAN_WEB}, "
+    "tx AS (SELECT page_id, pos, string_agg(x, '') AS txt FROM (SELECT page_id, pos, unnest(regexp_extract_all(text1, '>([^<]+)', 1)) AS x FROM web) GROUP BY 1, 2), "
+    f"txd AS (SELECT web.page_id, web.pos, {decoded("coalesce(txt, '')")} AS t FROM web LEFT JOIN tx USING (page_id, pos)), "
+    "txe AS (SELECT page_id, pos, CASE WHEN length(t) < 2 THEN 'None' ELSE t END AS txt FROM txd), "
+    f"ranks AS ({RANKS}), arts AS ({ARTICLES}), cats AS (SELECT DISTINCT domain, suffix AS label FROM sites), "
+    "uc AS (SELECT url, count(*) AS num_wiki_on_url FROM web GROUP BY 1)"
+)
 
 
 @query(
     "r6_coding_dataset",
-    f"WITH {CLEAN_WEB}, {PROFILES}, "
-    "tx AS (SELECT page_id, pos, string_agg(x, '') AS txt FROM (SELECT page_id, pos, unnest(regexp_extract_all(text1, '>([^<]+)', 1)) AS x FROM web) GROUP BY 1, 2), "
-    f"txd AS (SELECT web.page_id, web.pos, replace(replace(coalesce(txt, ''), '&copy;', '©'), '&middot;', '·') AS t FROM web LEFT JOIN tx USING (page_id, pos)), "
-    "txe AS (SELECT page_id, pos, CASE WHEN length(t) < 2 THEN 'None' ELSE t END AS txt FROM txd), "
+    f"WITH {CODING}, {PROFILES}, "
     f"dc AS (SELECT page_id, pos, term, count(*) AS n FROM (SELECT page_id, pos, unnest({words('txt')}) AS term FROM txe) GROUP BY ALL), "
     "sc AS (SELECT page_id, pos, lang, round(sum(n * weight), 9) AS score FROM dc JOIN pr USING (term) GROUP BY 1, 2, 3), "
-    "best AS (SELECT page_id, pos, lang FROM sc QUALIFY row_number() OVER (PARTITION BY page_id, pos ORDER BY score DESC, lang DESC) = 1), "
-    f"ranks AS ({RANKS}), arts AS ({ARTICLES}), cats AS (SELECT DISTINCT domain, suffix AS label FROM sites), "
-    "uc AS (SELECT url, count(*) AS num_wiki_on_url FROM web GROUP BY 1) "
+    "best AS (SELECT page_id, pos, lang FROM sc QUALIFY row_number() OVER (PARTITION BY page_id, pos ORDER BY score DESC, lang DESC) = 1) "
     f"SELECT web.page_id, web.pos, web.url, title, domain, num_wiki_on_url, harmonic, topic_leaf, total_count, label, {context('text2', 'wiki_url')} AS context "
     f"FROM web JOIN best USING (page_id, pos) JOIN uc USING (url) LEFT JOIN ranks USING (domain) LEFT JOIN arts USING (title) LEFT JOIN cats USING (domain) "
     f"WHERE best.lang = 'en' AND {hash_number(sample_hash('4', 'web.page_id', 'web.pos'))} < {int(0.5 * 2**32)}",
 )
 def r6(t):
+    out = coding_dataset(t, profiles(t), 0.5)
+    return out.select(
+        "page_id", "pos", "url", "title", "domain", "num_wiki_on_url", "harmonic", "topic_leaf", "total_count", "label", "context"
+    )
+
+
+def coding_dataset(t, language_profiles, prop: float):
     contexts = cut_lineage(P.extract_content(linked_pages(t)))  # three consumers
-    web = P.clean_web_content(contexts)
+    web = P.clean_web_content(contexts, order=["text1", "text2", "hypertext", "pos"])
     h = U.host("url")
     sites = t("pages").select(U.registered_domain(h).alias("domain"), U.public_suffix(h).alias("label"))
-    per_title = web.groupBy("title").agg(F.count("*").alias("total_count"))
-    out = P.coding_dataset(
+    per_title = web.groupBy("title").agg(F.count("*").alias("total_count"), F.sum(F.length("text1")).alias("total_views"))
+    return P.coding_dataset(
         contexts,
         url_counts=web.groupBy("url").agg(F.count("*").alias("num_wiki_on_url")),
         ranks=sites.groupBy("domain").agg(F.count("*").alias("harmonic")),
         articles=per_title.withColumn("topic_leaf", F.concat(F.lit("T"), (F.col("total_count") % 3).cast("string"))),
         categories=sites.distinct(),
-        profiles=profiles(t),
+        profiles=language_profiles,
         ids=["page_id", "pos"],
-        prop=0.5,
+        prop=prop,
         seed=4,
     )
-    return out.select(
-        "page_id", "pos", "url", "title", "domain", "num_wiki_on_url", "harmonic", "topic_leaf", "total_count", "label", "context"
-    )
+
+
+@query(
+    "g18_coding_sheet",
+    f"WITH {CODING} SELECT web.url, num_wiki_on_url, harmonic, domain, subdomain, a1 AS parent_1, a2 AS parent_2, title, {context('text2', 'wiki_url')} AS context, "
+    "txt AS text, total_count, total_views::BIGINT AS total_views, topic_leaf FROM web JOIN txe USING (page_id, pos) JOIN uc USING (url) LEFT JOIN ranks USING (domain) "
+    "LEFT JOIN arts USING (title)",
+)
+def g18(t):
+    return S.coding_sheet(coding_dataset(t, None, 1.0), with_rank=True, rank="harmonic")
 
 
 @query(
@@ -309,11 +331,7 @@ def r13(t):
     + " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS name, count(subset) AS n FROM d GROUP BY 2" for k in ("title", "domain", "wikidb")),
 )
 def r13b(t):
-    links = link_table(t)
-    parts = [
-        P.mention_counts(links, k).select(F.lit(k).alias("kind"), F.col(k).alias("name"), "n") for k in ("title", "domain", "wikidb")
-    ]
-    return R.union_all(parts)
+    return P.mention_counts(link_table(t), ["title", "domain", "wikidb"])
 
 
 VIEWS = "v AS (SELECT lower(l_returnflag) || CASE WHEN l_linestatus = 'F' THEN '.m' ELSE '' END AS wikidb, l_partkey::VARCHAR AS title, l_quantity::INTEGER AS views FROM lineitem)"
@@ -415,5 +433,8 @@ def r18b(t):
     "SELECT doc_id, lang AS wikidb FROM documents",
 )
 def r19(t):
-    frames = {lang: t("documents").filter(F.col("lang") == lang).select("doc_id") for lang in ("en", "de", "fr", "es")}
+    documents = t("documents")
+    # One frame for each language of the table, rows without one included.
+    languages = [r["lang"] for r in documents.select("lang").distinct().collect()]
+    frames = {lang: documents.filter(F.col("lang").eqNullSafe(F.lit(lang))).select("doc_id") for lang in languages}
     return P.identifier_union(frames)

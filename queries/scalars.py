@@ -8,8 +8,8 @@ from linkloom.functions import text as X
 from linkloom.functions import urls as U
 from linkloom.operators import html as H
 from queries.registry import Tables, query, rnd
-from queries.relational import linked_pages
-from queries.sqlparts import HREF_ALL, LINKED, SITES, cleaned, context, host, title, words
+from queries.relational import linked_pages, moved_sites
+from queries.sqlparts import HREF_ALL, LINKED, MOVED_SITES, cleaned, context, host, title, words
 
 LINK_ROWS = f"l AS (SELECT page_id, unnest({HREF_ALL}) AS link FROM linked)"
 
@@ -60,12 +60,13 @@ def i5(t):
 
 @query(
     "i6_site_parts",
-    f"WITH {SITES} SELECT page_id, domain, suffix, CASE WHEN domain <> '' AND length(h) - length(domain) - 1 > 1 THEN h ELSE domain END AS full_host FROM sites",
+    f"WITH {MOVED_SITES} SELECT page_id, h, domain, suffix, CASE WHEN domain <> '' AND length(h) - length(domain) - 1 > 1 THEN h ELSE domain END AS full_host FROM sites",
 )
 def i6(t):
-    h = U.host("url")
-    return t("pages").select(
+    h = F.col("h")
+    return moved_sites(t).select(
         "page_id",
+        "h",
         U.registered_domain(h).alias("domain"),
         U.public_suffix(h).alias("suffix"),
         U.full_host(h).alias("full_host"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom import schemas
+from linkloom.functions import urls as U
 from linkloom.operators import html as H
 from linkloom.sources import readers, writers
-from linkloom.streaming.batches import process_in_batches
+from linkloom.streaming.batches import process_in_batches, read_processed
 from queries.registry import Tables, query, rnd
-from queries.sqlparts import HREF_ALL
+from queries.relational import linked_pages
+from queries.sqlparts import HREF_ALL, LINKED, host
 
 PAGE_ROWS = "SELECT page_id, url, length(html) AS n_chars FROM pages"
 
@@ -23,6 +25,19 @@ def a1(t: Tables):
     return page_rows(readers.read_pages(t.spark, [t.path("pages")], schemas.PAGES))
 
 
+@query(
+    "a1_page_key",
+    f"WITH {LINKED}, l AS (SELECT page_id, {host()} AS url, unnest({HREF_ALL}) AS wiki_url FROM linked) "
+    "SELECT page_id, url, wiki_url, count(*) AS n FROM l WHERE contains(wiki_url, 'wikipedia.org/') GROUP BY ALL",
+)
+def a1_key(t: Tables):
+    # All pages of a site under one url: only the key tells them apart.
+    keyed = readers.with_page_key(readers.read_pages(t.spark, [t.path("pages")], schemas.PAGES))
+    linked = linked_pages(t, keyed).withColumn("url", U.host("url"))
+    links = H.link_contexts(linked, key="page_key", carry=["page_id", "url"])
+    return links.groupBy("page_id", "url", "wiki_url").agg(F.count("*").alias("n"))
+
+
 @query("a2_list_inputs", "SELECT 1 AS n_files, count(*) AS n_rows FROM pages")
 def a2(t: Tables):
     pages = readers.read_listed(t.spark, t.folder, "pages.parquet", schemas.PAGES, exclude=["known-bad-file"])
@@ -38,7 +53,7 @@ def a3(t: Tables):
     links = lambda df: df.select("url", F.explode(H.page_links("html", "^/")).alias("href"))
     for _ in range(2):  # the second run finds nothing left to do
         process_in_batches(t.spark, t.folder, schemas.PAGES, links, out, checkpoint, 1, "pages.parquet")
-    return t.spark.read.parquet(out)
+    return read_processed(t.spark, out, links(t("pages")).schema)
 
 
 @query("a4_read_domain_ranks", "SELECT s_suppkey AS pos, s_name || '.example.com' AS domain FROM supplier")
@@ -114,7 +129,7 @@ def a11(t: Tables):
 )
 def a12(t: Tables):
     path = t.scratch("languages")
-    writers.write_by_language(t("documents").select("doc_id", "lang", "n_chars"), path, ["en", "de", "fr", "es"], "lang")
+    writers.write_by_language(t("documents").select("doc_id", "lang", "n_chars"), path, column="lang")
     back = t.spark.read.schema("doc_id long, n_chars long, lang string").parquet(path)
     return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 

@@ -26,11 +26,15 @@ def host(url: str = "url") -> str:
 
 
 def suffix(h: str) -> str:
-    values = ", ".join(f"('{s}')" for s in PUBLIC_SUFFIXES)
-    return (
-        f"coalesce((SELECT arg_max(s, length(s)) FROM (VALUES {values}) v(s) "
-        f"WHERE ends_with('.' || {h}, '.' || s)), regexp_extract({h}, '\\.([^.]*[^.0-9][^.]*)$', 1))"
+    """By the number of labels a rule takes from the end, where the expression walks over endings."""
+    kinds = [("!", r[1:]) if r[0] == "!" else ("*", r[2:]) if r[0] == "*" else ("", r) for r in PUBLIC_SUFFIXES]
+    values = ", ".join(f"('{k}', '{e}', {e.count('.') + 1})" for k, e in kinds)
+    n = (
+        "(SELECT coalesce(max(CASE WHEN kind = '!' THEN n - 1 END), max(CASE WHEN kind = '*' THEN n + 1 ELSE n END)) "
+        f"FROM (VALUES {values}) v(kind, e, n) WHERE CASE kind WHEN '*' THEN ends_with({h}, '.' || e) ELSE ends_with('.' || {h}, '.' || e) END)"
     )
+    labels = f"string_split({h}, '.')"
+    return f"coalesce(array_to_string(list_slice({labels}, len({labels}) - {n} + 1, len({labels})), '.'), regexp_extract({h}, '\\.([^.]*[^.0-9][^.]*)$', 1))"
 
 
 def domain(h: str, s: str) -> str:
@@ -54,6 +58,15 @@ SITES = (
     f"sites AS (SELECT *, {domain('h', 'suffix')} AS domain FROM sfx)"
 )
 
+# The same sites moved under endings of every kind of rule, by page.
+MOVED_ENDINGS = ("co.kr", "com.tr", "ck", "shop.ck", "www.ck", "bar.kawasaki.jp", "city.kawasaki.jp", "kobe.jp", "uk", "org.uk", "example")
+MOVED_SITES = (
+    f"moved AS (SELECT page_id, {host()} || '.' || ([{quoted(MOVED_ENDINGS)}])[page_id % {len(MOVED_ENDINGS)} + 1] AS h FROM pages "
+    f"UNION ALL SELECT page_id, {host()} FROM pages), "
+    f"sfx AS (SELECT *, {suffix('h')} AS suffix FROM moved), "
+    f"sites AS (SELECT *, {domain('h', 'suffix')} AS domain FROM sfx)"
+)
+
 # Pages with links to an encyclopedia, derived from the whole page table.
 WIKI_BASE = f"'https://' || {LANG} || '.wikipedia.org/wiki/'"
 LINKED_HTML = (

@@ -327,20 +327,11 @@ def f6(t):
     "f7_preceding_heading",
     f"WITH {elements()}, hd AS (SELECT page_id, pos, close_pos FROM el WHERE regexp_matches(tag, '^h[1-6]$')), "
     "m AS (SELECT p.page_id, p.pos, max(h.pos) AS hpos FROM el p LEFT JOIN hd h ON h.page_id = p.page_id AND h.pos < p.pos "
-    f"WHERE p.tag IN ('p', 'footer', 'a') GROUP BY 1, 2), b AS (SELECT m.*, h.close_pos AS hend FROM m LEFT JOIN hd h ON h.page_id = m.page_id AND h.pos = m.hpos), "
+    f"GROUP BY 1, 2), b AS (SELECT m.*, h.close_pos AS hend FROM m LEFT JOIN hd h ON h.page_id = m.page_id AND h.pos = m.hpos), "
     f"{span_text('b', 'tx', 'hpos', 'hend')} SELECT page_id, b.pos, CASE WHEN hpos IS NOT NULL THEN txt END AS heading FROM b JOIN tx USING (page_id, pos)",
 )
 def f7(t):
-    from pyspark.sql import Window as W
-
-    before = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    is_heading = F.col("tag").rlike("^h[1-6]$")
-    el = H.html_elements(t("pages")).withColumn(
-        "h", F.last(F.when(is_heading, F.struct("pos", "close_pos")), True).over(before)
-    )
-    el = H.with_page_tokens(el.filter(F.col("tag").isin("p", "footer", "a")), t("pages"))
-    heading = F.when(F.col("h").isNotNull(), H.text_between("toks", F.col("h.pos"), F.col("h.close_pos")))
-    return el.select("page_id", "pos", heading.alias("heading"))
+    return H.preceding_heading(t("pages")).select("page_id", "pos", "heading")
 
 
 DEPTH_SQL = f"WITH {elements()}, {regions([], {})} SELECT page_id, pos, depth FROM reg"
@@ -363,11 +354,13 @@ def f9(t):
 
 
 # --- G1-G5 ----------------------------------------------------------------------------------------------
-@query("g1_sort", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_totalprice")
+@query(
+    "g1_sort",
+    "SELECT o_orderkey, o_orderdate, o_totalprice, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_totalprice NULLS LAST, o_orderkey) AS place FROM orders",
+)
 def g1(t):
-    return t("orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(
-        F.col("o_orderdate").desc_nulls_last(), F.col("o_totalprice").asc_nulls_last()
-    )
+    rows = t("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return N.global_rank(rows, [F.col("o_orderdate").desc_nulls_last(), F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey")])
 
 
 @query("g2_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")

@@ -120,3 +120,76 @@ def test_well_formed_trees(spark, seed):
         up1, up2 = ups[pos].up1, ups[pos].up2
         assert (up1.pos if up1 else None) == (path[-1] if path else None)
         assert (up2.pos if up2 else None) == (path[-2] if len(path) > 1 else None)
+
+
+# --- spans by offsets ------------------------------------------------------------------------------------
+def flat(tokens, start, stop):
+    """Visible text between two tokens, and markup from the first to the one that ends it."""
+    return "".join(t for t in tokens[start + 1 : stop] if not t.startswith("<"))
+
+
+@pytest.mark.parametrize("cut", [8 << 20, 200])
+def test_spans_equal_the_tokens_between(spark, monkeypatch, cut):
+    """With a small ``CUT_CHARS`` the rows of a page are cut in many parts."""
+    monkeypatch.setattr(H, "CUT_CHARS", cut)
+    rng = random.Random(7)
+    htmls = []
+    for _ in range(6):
+        words = [rng.choice(["<p>", "<div>", "<b>", "</b>", "</p>", "</div>", "<br>", "né ", "a &amp; b ", "x", "<i>", "</i>", "<h2>", "</h2>"]) for _ in range(80)]
+        htmls.append("".join(words) + "<p>unclosed")
+    df = pages(spark, *htmls)
+    tokens = {r.page_id: r.toks for r in df.select("page_id", H.token_array("html").alias("toks")).collect()}
+    elements = H.html_elements(df)
+    found = H.element_text(df, elements).collect()
+    assert len(found) == elements.count() > 100
+    for r in found:
+        assert r.text == flat(tokens[r.page_id], r.pos, min(r.close_pos, len(tokens[r.page_id]))).replace("&amp;", "&"), r
+    arrays = H.page_arrays(df)
+    marked = H.cut_spans(H.elements_of(arrays), H.page_texts(arrays), {"m": H.Span(markup=True)}).collect()
+    for r in marked:
+        toks = tokens[r.page_id]
+        stop = min(r.close_pos, len(toks))
+        own = stop < len(toks) and toks[stop] == f"</{r.tag}>"
+        assert r.m == "".join(toks[r.pos : max(stop + own, r.pos + 1)])
+
+
+def test_page_with_ten_thousand_links(spark):
+    links = " ".join(f'<a href="https://en.wikipedia.org/wiki/T{i}">t{i}</a>' for i in range(10_000))
+    df = pages(spark, f"<html><body><div><p>{links}</p></div></body></html>", "<p>no link</p>")
+    rows = H.link_features(df).select("hypertext", "nbhd_text", "a1", "a2").collect()
+    assert len(rows) == 10_000 and {(r.a1, r.a2) for r in rows} == {("p", "div")}
+    by = {r.hypertext: r.nbhd_text for r in rows}
+    assert by["t0"].startswith(" [BREAK] t0 [BREAK]  t1 t2") and " [BREAK] t5000 [BREAK] " in by["t5000"]
+
+
+@pytest.mark.parametrize("numbers", [[], [3], [1, 0, 2], list(range(64)), list(range(65)), list(range(1000))])
+def test_prefix_sums(spark, numbers):
+    df = spark.createDataFrame([(numbers,)], "x array<int>")
+    assert df.select(H.prefix_sums(F.col("x"))).first()[0] == [sum(numbers[:i]) for i in range(len(numbers) + 1)]
+
+
+def test_linked_pages_lose_no_link(spark):
+    """The raw test may keep too much, never too little: entities in the href, odd quotes, upper case."""
+    htmls = [
+        '<a href="https://en&#46;wikipedia.org/wiki/X">x</a>', "<A HREF='https://en.wikipedia.org/wiki/X'>x</A>",
+        '<a href="https://en&period;wikipedia&#x2e;org&sol;wiki/X">x</a>', "<a class=b href=//fr.m.wikipedia.org/wiki/X>x</a>",
+        "<p>wikipedia.org/ without an anchor</p>", '<a href="/local?a=1&amp;b=2">y</a>',
+    ]
+    kept = {r.page_id for r in H.linked_pages(pages(spark, *htmls)).collect()}
+    found = {r.page_id for r in pages(spark, *htmls).select("page_id", F.explode(H.page_links("html")).alias("l")).collect()}
+    assert found == {0, 1, 2, 3} == kept
+    assert {r.page_id for r in H.linked_pages(pages(spark, *htmls), "^/local").collect()} == {0, 1, 2, 3, 5}
+    assert {r.page_id for r in H.linked_pages(pages(spark, *htmls), "a=1.b").collect()} >= {5}
+
+
+def test_repeated_urls_give_each_link_once(spark, tmp_path):
+    from linkloom.sources.readers import read_pages, with_page_key
+
+    page = '<p>See <a href="https://en.wikipedia.org/wiki/{}">{}</a></p>'
+    for part in range(3):
+        rows = [("u", page.format(f"T{part}{i}", f"t{part}{i}")) for i in range(4)] + [("u", page.format("Same", "same"))]
+        spark.createDataFrame(rows, "url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    keyed = with_page_key(read_pages(spark, str(tmp_path / "pages")))
+    assert keyed.select("page_key").distinct().count() == 15
+    links = [r.hypertext for r in H.link_contexts(keyed, key="page_key", carry=["url"]).collect()]
+    assert sorted(links) == sorted([f"t{p}{i}" for p in range(3) for i in range(4)] + ["same"] * 3)

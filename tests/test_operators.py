@@ -88,11 +88,53 @@ def test_sample_rank_is_a_permutation(spark):
         assert rks == list(range(1, 2501))
 
 
-def test_both_sampling_paths_agree(spark):
-    df = spark.range(9000).select("id", (F.col("id") % 3).alias("g"))
-    small = S.sample_per_group(df, ["g"], 900, ["id"]).select("id")
-    ranked = S.sample_rank(df, ["g"], ["id"], 0).filter("rk <= 900").select("id")
-    assert small.exceptAll(ranked).count() == 0 and ranked.count() == 2700
+@pytest.mark.parametrize("n", [0, 1, 40, 900, 2999, 3000, 50_000])
+@pytest.mark.parametrize("fine", [50_000, 0])
+def test_samples_are_the_first_ranks(spark, monkeypatch, n, fine):
+    monkeypatch.setattr(S, "FINE_ROWS", fine)  # 0: every last slice is cut once more
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 < 2, F.lit(0)).otherwise(F.lit(None)).alias("g"), (F.col("id") % 7).alias("_h"))
+    sample = S.sample_per_group(df, ["g"], n, ["id"])
+    assert sample.columns == df.columns
+    ranked = S.sample_rank(df, ["g"], ["id"], 0).filter(F.col("rk") <= n).select("id")
+    got = sample.select("id")
+    assert got.exceptAll(ranked).count() == 0 and got.count() == min(n, 6000)
+    assert S.sample_n(df, n, ["id"]).count() == min(n, 9000)
+
+
+def test_samples_of_more_groups_than_are_told(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_GROUPS", 3)
+    df = spark.range(4000).select("id", F.sqrt("id").cast("int").alias("g"))
+    got = S.sample_per_group(df, ["g"], 20, ["id"])
+    want = S.sample_rank(df, ["g"], ["id"], 0).filter("rk <= 20")
+    assert got.select("id").exceptAll(want.select("id")).count() == 0 and got.count() == want.count()
+
+
+def test_draws_are_uniform_in_groups_of_any_size(spark):
+    size = 3 << 58  # far over 2**32, and two thirds of all 60-bit numbers are below its largest multiple
+    draws = spark.range(20_000).select(S.drawn_number(5, ["id"], F.lit(size)).alias("x"))
+    low, high, thirds = draws.agg(F.min("x"), F.max("x"), F.sort_array(F.collect_list((F.col("x") / (size / 3)).cast("int")))).first()
+    assert 1 <= low and high <= size and high > 0.99 * size
+    counts = [thirds.count(k) for k in range(3)]
+    assert all(abs(c - 20_000 / 3) < 300 for c in counts)
+    few = spark.range(30_000).select(S.drawn_number(5, ["id"], F.lit(3)).alias("x")).groupBy("x").count().collect()
+    assert {r["x"] for r in few} == {1, 2, 3} and all(abs(r["count"] - 10_000) < 400 for r in few)
+
+
+def test_global_rank_with_one_value_in_half_of_the_rows(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 100).alias("v"))
+    rows = N.global_rank(df.repartition(6), [F.col("v").asc_nulls_last(), F.col("id")]).collect()
+    want = sorted(((i, 5 if i % 2 == 0 else None if i % 5 == 0 else i % 100) for i in range(6000)), key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [(r["id"], r["v"]) for r in rows] == want and [r["place"] for r in rows] == list(range(1, 6001))
+    pdf = pd.DataFrame(want, columns=["id", "v"])
+    pct = {r["id"]: r["pct"] for r in N.percent_rank_average(df, "v").collect()}
+    for i, p in zip(pdf["id"], pdf["v"].rank(pct=True)):
+        assert pct[i] == (None if p != p else pytest.approx(p))
+
+
+def test_ranks_of_an_empty_table(spark):
+    df = spark.range(0).select("id", F.col("id").alias("v"))
+    assert N.global_rank(df, ["v", "id"]).count() == N.percent_rank_average(df, "v").count() == 0
+    assert S.sample_n(df, 5, ["id"]).count() == S.equal_size_sample(df, "v", ["id"]).count() == 0
 
 
 def test_equal_size(spark):
@@ -114,10 +156,66 @@ def test_histogram_top_edge(spark):
 
 def test_concat_text_in_parts(spark):
     df = spark.createDataFrame([("g", i, f"w{i}") for i in range(5)], "k string, o int, t string")
-    got = {r.part: r.t for r in R.concat_text_by_group(df, "k", "t", "o", part_size=2).collect()}
+    got = {r.part: r.t for r in R.concat_text_by_group(df, "k", "t", "o", part_bytes=4).collect()}
     assert got == {0: "w0 w1", 1: "w2 w3", 2: "w4"}
 
 
+def test_parts_of_a_group_with_one_order_value(spark):
+    """Equal, missing and unordered values: parts stay bounded and hold every text once."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, None).otherwise(F.lit("g")).alias("k"), F.lit(None).cast("int").alias("o"), F.format_string("%05d", "id").alias("t")
+    )
+    rows = R.concat_text_by_group(df.repartition(5), "k", "t", "o", part_bytes=500).collect()
+    assert max(len(r.t.split(" ")) for r in rows) == 100
+    for k, ids in ((None, range(0, 3000, 10)), ("g", [i for i in range(3000) if i % 10])):
+        parts = sorted((r for r in rows if r.k == k), key=lambda r: r.part)
+        assert " ".join(p.t for p in parts).split(" ") == [f"{i:05d}" for i in ids]
+
+
+RULES = ["// comment", "", "com", "ck ", "*.ck", "!www.ck", "co.kr  trailing words", "CO.UK", "*.kawasaki.jp", "!city.kawasaki.jp", "jp"]
+SITES = {
+    "www.foo.co.kr": ("foo.co.kr", "co.kr"), "a.bar.co.kr": ("bar.co.kr", "co.kr"), "co.kr": ("", "co.kr"), "www.ck": ("www.ck", "ck"),
+    "a.www.ck": ("www.ck", "ck"), "shop.ck": ("", "shop.ck"), "x.shop.ck": ("x.shop.ck", "shop.ck"), "y.x.shop.ck": ("x.shop.ck", "shop.ck"),
+    "ck": ("", "ck"), "a.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"), "b.a.other.kawasaki.jp": ("a.other.kawasaki.jp", "other.kawasaki.jp"),
+    "kawasaki.jp": ("kawasaki.jp", "jp"), "x.co.uk": ("x.co.uk", "co.uk"), "a.b.unlisted": ("b.unlisted", "unlisted"), "localhost": ("", ""), "10.0.0.1": ("", ""),
+}
+
+
+def test_suffix_rules(spark, tmp_path):
+    from linkloom.functions import urls as U
+
+    (tmp_path / "rules.dat").write_text("\n".join(RULES))
+    hosts = spark.createDataFrame([(h, i) for i, h in enumerate(SITES)] + [(None, 99)], "h string, i int")
+    rules = readers.read_suffix_rules(spark, str(tmp_path / "rules.dat"))
+    assert {tuple(r) for r in rules.filter("ending like '%ck'").collect()} == {("ck", "plain"), ("ck", "wildcard"), ("www.ck", "exception")}
+    by_table = {r["h"]: (r["domain"], r["suffix"]) for r in R.registered_domain_by_table(hosts, "h", rules).collect()}
+    texts = [r.split()[0].lower() for r in RULES if r and not r.startswith("//")]
+    inline = hosts.select("h", U.registered_domain("h", texts).alias("domain"), U.public_suffix("h", texts).alias("suffix"))
+    listed = {r["h"]: (r["domain"], r["suffix"]) for r in inline.collect()}
+    for h, want in SITES.items():
+        known = ("", "") if h == "ck" and by_table[h] == ("", "") else want
+        assert by_table[h] == known and listed[h][0] == want[0], (h, by_table[h], listed[h])
+
+
+def test_batches_set_broken_files_aside(spark, tmp_path):
+    from linkloom.streaming.batches import broken_files, process_in_batches, read_processed
+
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    spark.range(600).repartition(60).write.parquet(source)
+    for name in ("a-broken", "z-broken"):
+        (tmp_path / "in" / f"{name}.parquet").write_bytes(b"no parquet at all")
+    double = lambda df: df.select((F.col("id") * 2).alias("x"))
+    schema = spark.range(1).schema
+    run = lambda: process_in_batches(spark, source, schema, double, out, check, files_per_batch=25)
+    kind = double(spark.range(1)).schema
+    assert run() == 3
+    assert sorted(r.x for r in read_processed(spark, out, kind).collect()) == list(range(0, 1200, 2))
+    assert sorted(r.file_path.rsplit("/", 1)[1] for r in broken_files(spark, out).collect()) == ["a-broken.parquet", "z-broken.parquet"]
+    assert run() == 0
+    spark.range(600, 610).coalesce(1).write.mode("append").parquet(source)
+    assert run() == 1 and read_processed(spark, out, kind).count() == 610
+
+
 def test_schema_check(spark):
     good = spark.createDataFrame([(1, "u", "h")], schemas.PAGES)
     assert schemas.check_schema(good, schemas.PAGES) is good

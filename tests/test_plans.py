@@ -46,13 +46,29 @@ def test_group_count_uses_no_window(spark):
     assert "Window" not in plan(N.group_count(df, ["event_type"]))
 
 
-def test_only_linked_pages_are_shuffled(spark):
-    """Pages are filtered by their links below the shuffle; the url needs no second join."""
+def test_link_pages_are_taken_apart_and_shuffled_once(spark):
+    """Pages are filtered below the shuffle; elements and texts read the same shuffle of tokens; the url
+    comes along without a second join."""
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
-    text = plan(P.extract_content(pages, "^/"))
-    for part in text.split("Exchange hashpartitioning(page_id")[1:]:
-        assert "RLIKE ^/" in part or "rlike" in part.lower()
+    found = P.extract_content(pages, "^/")
+    found.collect()
+    text = plan(found).split("== Initial Plan ==")[0]
+    shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning(page_id" in line]
+    assert len([line for line in shuffles if "ReusedExchange" not in line]) == 1 and len(shuffles) == 2
     assert text.count("SortMergeJoin") == 1
+    assert "RLIKE" in text.split("Exchange hashpartitioning(page_id")[1] or "rlike" in text.lower()
+
+
+def test_samples_drop_rows_below_the_shuffle(spark):
+    """The slices of the sample are chosen in the scan: the filter stands below the exchange of the rank."""
+    df = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    ids = ["l_orderkey", "l_linenumber"]
+    for sample in (S.sample_n(df, 20_000, ids), S.sample_per_group(df, ["l_returnflag"], 5, ids), S.equal_size_sample(df, "l_returnflag", ids)):
+        text = plan(sample).split("== Initial Plan ==")[-1]
+        rank = text.index("_slice", text.index("Window"))
+        exchange = text.index("Exchange hashpartitioning", rank)
+        below = text[exchange : text.index("BroadcastExchange", exchange)]
+        assert re.search(r"Filter .*isnull\(_last.*<= _last", below), text
 
 
 def test_neighbour_links_stay_in_their_row(spark):
