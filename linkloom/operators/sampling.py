@@ -44,6 +44,13 @@ def _known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def _hashed(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str | int) -> DataFrame:
+    """Rows with their hash ``_h`` and ``_all``, a key all rows share. It is 0, but no constant to Spark, which
+    would turn an equi join on it into a join of all with all."""
+    hashed = _known(df, keys).withColumn("_h", sample_hash(seed, ids))
+    return hashed.withColumn("_all", F.length("_h") - 32)
+
+
 def _slices(hashed: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
     """``keys, _s, _n, _before``: rows in each slice, and in the slices before it. At most 16 ** digits rows a group."""
     counts = hashed.groupBy(*keys, F.substr("_h", F.lit(1), F.lit(digits)).alias("_s")).agg(F.count("*").alias("_n"))
@@ -74,7 +81,7 @@ def first_in_hash_order(
     whole, each by itself; they hold less than a hundred-thousandth of all rows each.
     """
     keys, ids = [*keys, "_all"], list(ids)
-    hashed = _known(df.withColumn("_all", F.lit(0)), keys).withColumn("_h", sample_hash(seed, ids))
+    hashed = _hashed(df, keys[:-1], ids, seed)
     sliced = _slices(hashed, keys, SLICE_DIGITS)
     sizes = sliced.withColumn("_size", F.sum("_n").over(W.partitionBy(*keys)))
     if n is None:
@@ -161,7 +168,7 @@ def sample_with_replacement(
     rows of such slices are shuffled and ranked.
     """
     keys, ids = [*keys, "_all"], list(ids)
-    hashed = _known(df.withColumn("_all", F.lit(0)), keys).withColumn("_h", sample_hash(seed, ids))
+    hashed = _hashed(df, keys[:-1], ids, seed)
     slices = cut_lineage(_slices(hashed, keys, SLICE_DIGITS))
     sizes = slices.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     draws = sizes.select(*keys, "_size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_draw"))
