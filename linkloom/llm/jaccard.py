@@ -277,7 +277,22 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the row with the smallest id stays; rows with a null id stay."""
-    found = groups(docs, k, percent).filter("id != component").select(F.col("id").alias("__id"))
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left_anti")
-    return kept
+    """Pipeline stage: of each group of near duplicates one row stays, the one with the smallest id.
+
+    Every row takes part: rows are told apart by the hash of id and text, so rows with one id and other texts
+    count by themselves, and rows with a null id come after all others, in the order of that hash. Of rows that
+    repeat an id and text one is left. Rows without a word are no duplicates of anything and stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    found = groups(keyed, k, percent, key="__key").filter("n > 0")
+    rows = keyed.groupBy("__key").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("rows"))
+    # Only keys in a group, or with several rows, need a decision.
+    linked = found.join(found.filter("id != component").select("component").distinct(), "component", "left_semi")
+    ids = linked.join(rows.withColumnRenamed("id", "doc"), linked["id"] == rows["__key"]).select("component", "__key", "doc")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "__key")).alias("first"))
+    gone = ids.join(first, "component").filter(F.col("__key") != F.col("first.__key")).select("__key", F.lit(True).alias("__gone"))
+    twice = rows.filter("rows > 1").join(found.select(F.col("id").alias("__key")), "__key").select("__key", F.lit(True).alias("__twice"))
+    facts = gone.join(twice, "__key", "full")
+    kept = keyed.join(stored(facts, "decisions"), "__key", "left").filter("__gone is null")
+    kept = kept.filter("__twice is null").unionByName(kept.filter("__twice").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)

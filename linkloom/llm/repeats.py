@@ -1,9 +1,11 @@
 """Repeated passages by sparse suffix arrays.
 
 Words are runs without white space, A-Z in lower case. A word is repeated when it lies in a span of
-``SPAN`` words that occurs at two or more places of the corpus. Of each such span the first occurrence
-(smallest document id, then place) stays; words of other occurrences are removed, unless they also lie
-in a first occurrence.
+``SPAN`` words that occurs at two or more places of the corpus. The first occurrence of a span is that of
+the smallest document id, then place. A word is removed if any later occurrence of a span lies over it,
+but not where the span's own first occurrence in the same text lies over it, too. So no span is left
+twice, and nothing is lost: a removed word stands at the same place of the span's first occurrence, or,
+if it is removed there for another span, at that one's first occurrence, always before.
 
 Suffixes are kept only at minimisers: in every ``WIDTH`` consecutive runs of ``GRAM`` words the one with
 the smallest hash. Any span of ``SPAN`` words holds the same minimiser among its first ``WIDTH`` words
@@ -14,8 +16,9 @@ is extended to the left and the right: spans of ``SPAN`` words that contain the
 with those of the other places, by 64-bit hash, until no more span agrees.
 
 Equal texts are compared once: copies of the smallest id are repeated as a whole. Null, empty and short
-texts have no span. Rows with a null id take part as the last ones. Rows with equal id and text are
-equal copies of each other, and one of them counts as the first. An empty table gives no rows.
+texts have no span. Rows with a null id take part as the last ones, in the order of their texts' hashes.
+Rows with equal id and text count as one document in the ranges; ``remove`` leaves one of them. An empty
+table gives no rows. Ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import words
@@ -33,7 +36,8 @@ from linkloom.llm.common import pieces, stored, utf8
 SPAN, GRAM = 50, 4
 WIDTH = 22
 HEAD = SPAN - WIDTH + 1
-_NULL_ID = (1 << 63) - 1
+#: Rows without an id are numbered from here by their text.
+_NO_ID = 1 << 62
 _SUFFIX = pa.schema([("head", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("at", pa.int32())])
 
 
@@ -109,29 +113,14 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges covered by spans with these starts."""
-    if not len(starts):
-        return []
-    starts = np.unique(starts)
-    edges = np.flatnonzero(np.diff(starts) > SPAN) + 1
-    return [(int(part[0]), int(part[-1]) + SPAN) for part in np.split(starts, edges)]
-
-
-def _without(ranges: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out = []
-    for a, b in ranges:
-        for c, d in kept:
-            if d <= a or c >= b:
-                continue
-            if c > a:
-                out.append((a, c))
-            a = d
-            if a >= b:
-                break
-        if a < b:
-            out.append((a, b))
-    return out
+def _ranges_of(a: np.ndarray, b: np.ndarray, size: int) -> list[dict[str, int]]:
+    """The words under any of the ranges [a, b), as maximal ranges."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, a, 1)
+    np.add.at(steps, b, -1)
+    under = np.concatenate(([0], (np.cumsum(steps[:-1]) > 0).view(np.int8), [0]))
+    edges = np.flatnonzero(np.diff(under))
+    return [{"a": int(x), "b": int(y)} for x, y in edges.reshape(-1, 2)]
 
 
 _SPANS = "struct<repeated:array<struct<a:int,b:int>>,removed:array<struct<a:int,b:int>>>"
@@ -142,24 +131,30 @@ def _ranges(starts: pa.Array, gone: pa.Array, n: pa.Array, copies: pa.Array) ->
     later occurrence; the other starts always are."""
     kind = pa.struct([("repeated", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("removed", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
     out = []
-    for s, g, size, c in zip(starts.to_pylist(), gone.to_pylist(), n.to_pylist(), copies.to_pylist(), strict=True):
-        later = np.array([x for own, late in zip(s or [], g or [], strict=True) for x in (own if late else own[1:])], np.int64)
-        kept = np.array([own[0] for own, late in zip(s or [], g or [], strict=True) if not late], np.int64)
-        repeated = _runs(np.concatenate([kept, later]))
-        if c > 1 and size >= SPAN:  # each span stands in the copies as well
-            kept, repeated = np.setdiff1d(np.arange(size - SPAN + 1), later), [(0, size)]
-        removed = _without(_runs(later), _runs(kept))
-        out.append({k: [{"a": a, "b": b} for a, b in v] for k, v in (("repeated", repeated), ("removed", removed))})
+    for found, late, size, c in zip(starts.to_pylist(), gone.to_pylist(), n.to_pylist(), copies.to_pylist(), strict=True):
+        every = np.array([x for own in found or [] for x in own], np.int64)
+        # Behind the span's own first occurrence, where that is in this text.
+        behind = [(x, x if elsewhere else max(x, own[0] + SPAN)) for own, elsewhere in zip(found or [], late or [], strict=True) for x in (own if elsewhere else own[1:])]
+        later, first = (np.array([pair[k] for pair in behind], np.int64) for k in (0, 1))
+        whole = c > 1 and size >= SPAN  # each span stands in the copies as well
+        repeated = [{"a": 0, "b": size}] if whole else _ranges_of(every, every + SPAN, size)
+        out.append({"repeated": repeated, "removed": _ranges_of(first, later + SPAN, size)})
     return pa.array(out, kind)
 
 
+def _row_id(key: str, text_hash: Column) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.pmod(text_hash, F.lit(_NO_ID)) + F.lit(_NO_ID))
+
+
 def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, t, first, n, repeated, removed) of every text with a repeated span: ``t`` is the text's hash,
-    ``first`` false for copies of a smaller id, which are removed as a whole."""
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.coalesce(text, F.lit("")).alias("text"))
+    """(id, t, first, same, n, repeated, removed) of every text with a repeated span: ``t`` is the text's hash,
+    ``first`` false for copies of a smaller id, which are removed as a whole, ``same`` the number of rows with
+    this id and text."""
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    own = docs.select(_row_id(key, digest).alias("id"), digest.alias("t"), F.coalesce(text, F.lit("")).alias("text"))
     suffixes = stored(own.mapInArrow(_suffixes, "head long, id long, t long, at int"), "suffixes")
-    texts = suffixes.filter("at = -1").select("id", "t", F.col("head").alias("n"))
-    reps = stored(texts.groupBy("t").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n"), F.count("*").alias("copies")), "texts")
+    texts = suffixes.filter("at = -1").groupBy("t", "id").agg(F.first("head").cast("int").alias("n"), F.count("*").alias("same"))
+    reps = stored(texts.groupBy("t").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.sum("same").alias("copies"), F.min_by("same", "id").alias("same")), "texts")
 
     # Suffixes whose head stands at another place too: in another text, or elsewhere in the same one.
     heads = suffixes.filter("at >= 0").select("head", "t", "at", F.xxhash64("t", "at").alias("z"))
@@ -170,24 +165,24 @@ def repeated_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # Extension to both sides.
     rows = own.join(found, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "t", "text", "places")
     spans = stored(rows.mapInArrow(_extended, "span long, id long, t long, starts array<int>"), "spans")
-    # The first occurrence is that of the smallest id; texts of one id are told apart by their hash.
-    where = spans.groupBy("span").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t")).filter("lo != hi or lo_t != hi_t")
+    # The first occurrence is that of the smallest id; of different texts of one id any one counts as the first.
+    where = spans.groupBy("span").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("t", "id").alias("some_t"), F.min("t").alias("lo_t"), F.max("t").alias("hi_t")).filter("lo != hi or lo_t != hi_t")
     marks = spans.join(where, "span", "left").filter("size(starts) > 1 or lo is not null")
-    later = F.coalesce(F.col("id") != F.col("lo"), F.lit(False))
+    later = F.coalesce((F.col("id") != F.col("lo")) | (F.col("t") != F.col("some_t")), F.lit(False))
     marks = marks.groupBy("id", "t").agg(F.collect_list(F.struct("starts", later.alias("later"))).alias("m"))
     reps = reps.join(marks, ["id", "t"], "left").filter(f"m is not null or (copies > 1 and n >= {SPAN})")
-    ranges = reps.select("id", "t", "n", "copies", F.arrow_udf(_ranges, _SPANS)(F.col("m.starts"), F.col("m.later"), F.col("n"), F.col("copies")).alias("r"))
-    ranges = stored(ranges.select("id", "t", "n", "copies", "r.repeated", "r.removed"), "ranges")
+    ranges = reps.select("id", "t", "n", "copies", "same", F.arrow_udf(_ranges, _SPANS)(F.col("m.starts"), F.col("m.later"), F.col("n"), F.col("copies")).alias("r"))
+    ranges = stored(ranges.select("id", "t", "n", "copies", "same", "r.repeated", "r.removed"), "ranges")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    copies = texts.select("id", "t").distinct().join(ranges.filter(f"copies > 1 and n >= {SPAN}").select("t", "n", F.col("id").alias("rep")), "t").filter("id != rep")
-    copies = copies.select("id", "t", F.lit(False).alias("first"), "n", whole.alias("repeated"), whole.alias("removed"))
-    return ranges.select("id", "t", F.lit(True).alias("first"), "n", "repeated", "removed").unionByName(copies)
+    copies = texts.select("id", "t", "same").join(ranges.filter(f"copies > 1 and n >= {SPAN}").select("t", "n", F.col("id").alias("rep")), "t").filter("id != rep")
+    copies = copies.select("id", "t", F.lit(False).alias("first"), "same", "n", whole.alias("repeated"), whole.alias("removed"))
+    return ranges.select("id", "t", F.lit(True).alias("first"), "same", "n", "repeated", "removed").unionByName(copies)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """The registered query: a row for each maximal range of repeated words, with the words removed in it."""
     found = repeated_ranges(docs)
-    each = found.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n", "removed", F.explode("repeated").alias("r"))
+    each = found.select(F.when(F.col("id") < _NO_ID, F.col("id")).alias("doc_id"), "n", "removed", F.explode("repeated").alias("r"))
     inside = F.filter("removed", lambda x: (x["a"] >= F.col("r.a")) & (x["b"] <= F.col("r.b")))
     gone = F.aggregate(inside, F.lit(0), lambda s, x: s + x["b"] - x["a"])
     return each.select("doc_id", F.col("r.a").alias("first_word"), (F.col("r.b") - F.col("r.a")).alias("n_words"), gone.alias("n_removed"))
@@ -210,13 +205,21 @@ def _cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
 
 def remove(docs: DataFrame) -> DataFrame:
     """Pipeline stage: repeated passages are cut out of the texts, and ``n_chars`` follows where there is such a column;
-    all else stays as it is. Documents without a word left through this are dropped."""
-    found = repeated_ranges(docs).filter(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("removed").alias("__removed"))
-    own = docs.withColumns({"__own": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    all else stays as it is. Documents without a word left through this are dropped, and of rows with equal id and
+    text, of ``SPAN`` words and more, one is left."""
+    found = repeated_ranges(docs).withColumn("__equal", F.col("first") & (F.col("same") > 1) & (F.col("n") >= SPAN))
+    found = found.filter((F.size("removed") > 0) | F.col("__equal"))
+    found = found.select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("removed").alias("__removed"), "__equal")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.withColumns({"__own": _row_id("doc_id", digest), "__text": digest})
     out = own.join(found, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__t")), "left")
-    out = out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.arrow_udf(_cut, "string")(F.col("text"), F.col("__removed"))))
-    out = out.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
+    cut = F.size("__removed") > 0  # null where nothing was found
+    out = out.withColumn("text", F.when(cut, F.arrow_udf(_cut, "string")(F.col("text"), F.col("__removed"))).otherwise(F.col("text")))
+    out = out.filter(F.coalesce(~cut, F.lit(True)) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(n))
+        out = out.withColumn("n_chars", F.when(cut, n).otherwise(F.col("n_chars")))
+    # Rows with equal id and text stay once; there are few of them, so all others pass by.
+    equal = F.coalesce("__equal", F.lit(False))
+    out = out.filter(~equal).unionByName(out.filter(equal).dropDuplicates(["__own", "__text"]))
     return out.select(*docs.columns)

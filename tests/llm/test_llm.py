@@ -348,19 +348,22 @@ def test_plan_is_tight_and_complete(seed):
 
 
 def brute_repeats(docs):
+    """Words in spans at several places, and the words under a later one (not those under its own first one)."""
     places = collections.defaultdict(list)
     for i, t in docs:
         w = split(t)
         for s in range(len(w) - repeats.SPAN + 1):
             places[tuple(w[s : s + repeats.SPAN])].append((i, s))
-    seen, kept, gone = (collections.defaultdict(set) for _ in range(3))
+    seen, gone = collections.defaultdict(set), collections.defaultdict(set)
     for found in places.values():
         if len(found) > 1:
+            first = min(found)
             for i, s in found:
-                own = range(s, s + repeats.SPAN)
+                own = set(range(s, s + repeats.SPAN))
                 seen[i].update(own)
-                (kept if (i, s) == min(found) else gone)[i].update(own)
-    return seen, {i: gone[i] - kept[i] for i in seen}
+                if (i, s) != first:
+                    gone[i].update(own - set(range(first[1], first[1] + repeats.SPAN)) if i == first[0] else own)
+    return seen, {i: gone[i] for i in seen}
 
 
 @pytest.mark.parametrize("source", ["messy", "sf0.001"])
@@ -380,6 +383,46 @@ def test_repeats(spark, messy, source):
             assert cut[r["doc_id"]] == r["text"]
 
 
+def spans_in_two(texts):
+    """Spans that stand in two of the texts."""
+    where = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = split(t)
+        for s in range(len(w) - repeats.SPAN + 1):
+            where[tuple(w[s : s + repeats.SPAN])].add(i)
+    return sum(len(x) > 1 for x in where.values())
+
+
+def test_repeats_leave_no_span_in_two_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert spans_in_two([r["text"] for r in docs.collect()]) > 1000
+    left = repeats.remove(docs).collect()
+    assert spans_in_two([r["text"] for r in left]) == 0
+    # Nothing is lost: every word of the corpus that stood anywhere still does.
+    words_of = lambda rows: {w for r in rows for w in split(r["text"])}
+    assert words_of(left) == words_of(docs.collect())
+
+
+def test_passage_with_repeated_surroundings_stays_once(spark):
+    x, p, y = prose(21, 40), prose(22, 60), prose(23, 40)
+    docs = spark.createDataFrame([(1, p), (2, f"{x} {p} {y}"), (3, f"{x} {p} {y} tail")], "doc_id long, text string")
+    left = {r["doc_id"]: split(r["text"]) for r in repeats.remove(docs).collect()}
+    assert left == {1: split(p), 2: split(f"{x} {y}"), 3: [b"tail"]}
+
+
+def test_repeated_rows_stay_once(spark):
+    long, near = prose(31, 80), prose(31, 80).split(" ")
+    near[40] = "changed"
+    rows = [(1, long), (1, long), (None, long), (None, long), (4, " ".join(near)), (5, None), (5, None), (6, "few words"), (None, prose(33, 70))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, long), (5, None), (5, None), (6, "few words"), (None, prose(33, 70))], key=str)
+    cut = [(r["doc_id"], r["text"]) for r in repeats.remove(docs).collect()]
+    assert cut.count((1, long)) == 1 and not [t for i, t in cut if i is None and t == long] and spans_in_two([t for _, t in cut]) == 0
+    nameless = spark.createDataFrame([(None, f"{prose(i, 30)} {prose(40, 60)}") for i in (51, 52, 53)], "doc_id long, text string")
+    assert spans_in_two([r["text"] for r in repeats.remove(nameless).collect()]) == 0
+
+
 def test_repeats_messy(messy, empty):
     assert repeats.query(messy).count() and repeats.query(empty).count() == 0
     assert repeats.remove(messy).columns == messy.columns and repeats.remove(empty).count() == 0
