@@ -153,8 +153,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, form, n, n_near, form_n) of every word; form is its most frequent near word, if that is frequent enough."""
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("n_near_word"))
-    both = both.unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("n_near_word")))
+    # Both directions of each pair in one go, so that the join behind the pairs runs once.
+    side = lambda word, near: F.struct(F.col(word).alias("word"), F.col(near).alias("near"), F.col(f"n_{near}").alias("n_near_word"))
+    both = pairs.select(F.inline(F.array(side("a", "b"), side("b", "a"))))
     best = F.min(F.struct((-F.col("n_near_word")).alias("m"), F.col("near").alias("near")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     fits = -F.col("best.m") >= ratio * F.col("n")
