@@ -18,7 +18,7 @@ from queries.sqlparts import (
     HREF_ALL, LINKED, SITES, UPS, cleaned, context, decoded, elements, hash_number, host, quoted, sample_hash,
     span_markup, span_text, tf_idf, title, words,
 )
-from queries.words import PROFILES, STOP, counts_sql, docs, profiles
+from queries.words import IS_TRAIN, PROFILES, STOP, counts_sql, docs, naive_bayes_sql, profiles
 
 LINK_TABLE = (
     f"{LINKED}, {SITES}, lk AS (SELECT page_id, url, unnest({HREF_ALL}) AS wiki_link FROM linked), "
@@ -422,10 +422,19 @@ def r18(t):
     return P.region_classifier(rows, "text", "order", ["doc_id"], max_features=2000, stop_words=STOP).predictions
 
 
-@query("r18_region_confusion")
+@query(
+    "r18_region_confusion",
+    f"WITH rows AS (SELECT doc_id, text, (quality + toxic)::INTEGER AS ord, {IS_TRAIN} AS tr FROM documents JOIN labels USING (doc_id) WHERE len({words('text')}) > 1), "
+    f"c AS ({counts_sql('doc_id', 'rows', STOP)}), "
+    "df AS (SELECT term, count(*) AS df FROM c JOIN rows USING (doc_id) WHERE tr GROUP BY 1), "
+    "w0 AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(*) FROM rows WHERE tr)) / (1 + df)) + 1) AS w FROM c JOIN df USING (term)), "
+    f"wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0), {naive_bayes_sql('ord', 'wt')}, "
+    "p AS (SELECT doc_id, arg_max(k, s) AS predicted FROM scores GROUP BY 1) "
+    'SELECT ord AS "order", predicted, count(*) AS count FROM p JOIN rows USING (doc_id) GROUP BY 1, 2',
+)
 def r18b(t):
     rows = docs(t).join(t("labels"), "doc_id").withColumn("order", (F.col("quality") + F.col("toxic")).cast("int"))
-    return P.region_classifier(rows, "text", "order", ["doc_id"], algorithm="naive_bayes", max_features=2000, stop_words=STOP).confusion
+    return P.region_classifier(rows, "text", "order", ["doc_id"], algorithm="naive_bayes", max_features=1 << 18, stop_words=STOP).confusion
 
 
 @query(

@@ -114,16 +114,39 @@ def k6(t):
     return L.predict(model, f.transform(test), ["doc_id", "quality"])
 
 
-@query("k7_fit_naive_bayes")
+IS_TRAIN = f"{hash_number(sample_hash('0', 'doc_id'))} < {int(0.75 * 2**32)}"
+
+
+def naive_bayes_sql(label: str, weights: str) -> str:
+    """``scores(doc_id, k, s)`` of the test rows: multinomial naive Bayes in closed form, smoothing 1.
+
+    From ``rows(doc_id, <label>, tr)`` and the terms of all rows, ``weights(doc_id, term, w)``.
+    """
+    return (
+        f"tc AS (SELECT {label} AS k, term, sum(w) AS w FROM {weights} JOIN rows USING (doc_id) WHERE tr GROUP BY 1, 2), "
+        f"cls AS (SELECT {label} AS k, ln(count(*) + 1) AS prior FROM rows WHERE tr GROUP BY 1), "
+        "tot AS (SELECT k, sum(w) + (SELECT count(DISTINCT term) FROM tc) AS total FROM tc GROUP BY 1), "
+        f"te AS (SELECT {weights}.* FROM {weights} SEMI JOIN tc USING (term) JOIN rows USING (doc_id) WHERE NOT tr), "
+        "scores AS (SELECT r.doc_id, cls.k, any_value(prior) + coalesce(sum(te.w * ln((coalesce(tc.w, 0) + 1) / total)), 0) AS s "
+        "FROM (SELECT doc_id FROM rows WHERE NOT tr) r CROSS JOIN cls JOIN tot USING (k) LEFT JOIN te USING (doc_id) "
+        "LEFT JOIN tc ON tc.k = cls.k AND tc.term = te.term GROUP BY 1, 2)"
+    )
+
+
+@query(
+    "k7_fit_naive_bayes",
+    f"WITH rows AS (SELECT doc_id, text, quality, {IS_TRAIN} AS tr FROM documents JOIN labels USING (doc_id)), "
+    f"c AS (SELECT doc_id, term, n AS w FROM ({counts_sql('doc_id', 'rows', STOP)})), {naive_bayes_sql('quality', 'c')}, "
+    "m AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS best FROM scores) "
+    "SELECT doc_id, any_value(quality) AS quality, arg_max(k, s)::INTEGER AS predicted, round(1 / sum(exp(s - best)), 6) AS confidence "
+    "FROM m JOIN rows USING (doc_id) GROUP BY doc_id",
+)
 def k7(t):
     rows = labelled(t)
     train, test = rows.filter("is_train"), rows.filter("not is_train")
-    f = L.TermFeatures("text", 2000, STOP).fit(train)
+    f = L.TermFeatures("text", 1 << 18, STOP).fit(train)
     model = L.fit_naive_bayes(f.transform(train), "quality", "counts")
-    return L.predict(model, f.transform(test), ["doc_id", "quality"])
-
-
-IS_TRAIN = f"{hash_number(sample_hash('0', 'doc_id'))} < {int(0.75 * 2**32)}"
+    return L.predict(model, f.transform(test), ["doc_id", "quality"]).withColumn("confidence", rnd("confidence"))
 
 
 @query(
