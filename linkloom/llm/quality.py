@@ -134,14 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     sample = stored(sample, "quality-sample")
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(EPOCHS):
-        train = _trainer(docs.sparkSession.sparkContext.broadcast((z, n)))
-        states = sample.groupBy("shard").applyInPandas(train, "i long, z double, n double")
+        state = docs.sparkSession.sparkContext.broadcast((z, n))
+        states = sample.groupBy("shard").applyInPandas(_trainer(state), "i long, z double, n double")
         # A shard that did not touch a coordinate still holds the common value there.
-        mean = states.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c")).toPandas()
+        mean = states.groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c")).toArrow()
+        state.unpersist()
         shards = min(SHARDS, sample.select("shard").distinct().count())
         if not shards:
             break
-        i, rest = mean["i"].to_numpy(int), shards - mean["c"].to_numpy()
+        i, rest = mean["i"].to_numpy(), shards - mean["c"].to_numpy()
         z_new, n_new = z.copy(), n.copy()
         z_new[i] = (mean["z"].to_numpy() + rest * z[i]) / shards
         n_new[i] = (mean["n"].to_numpy() + rest * n[i]) / shards
