@@ -6,8 +6,10 @@ not, fall into ``RARE`` classes by their last two bytes, and the end of a docume
 The network predicts the class, and for frequent words the word within its class, both as softmax over
 its state; a rare word's share in its class is its smoothed count, with one place for all unseen words:
 so every text has a proper probability. The network is trained by truncated backpropagation in numpy, in
-one pass over all training documents: shards, as many as the input has, train from common weights, and Spark
-averages them after each round.
+one pass over all training documents. Their segments are dealt by hash to shards of about ``SHARD`` words,
+each shard to one round; the shards of a round train from common weights, which Spark then averages in
+exact fixed-point numbers. Rounds and shards of a round both grow with the root of the words, and nothing depends
+on how the input is partitioned.
 Scoring carries the state from window to window through a whole document and starts anew with the next.
 
 Counting: texts are read once, into stored slices of word numbers with each slice's vocabulary. The
@@ -24,25 +26,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm import words
-from linkloom.llm.common import held_out, pieces, stored, utf8
+from linkloom.llm.common import held_out, pieces, shared_folder, stored, utf8
 
 CLASSES, MEMBERS, RARE, HIDDEN = 16, 64, 64, 24
 VOCABULARY = CLASSES * MEMBERS
 END = VOCABULARY + RARE
 OUTPUTS = CLASSES + RARE + 1
-#: Slices are dealt to rounds by their number; after each round the shards' weights are averaged.
-ROUNDS, WINDOW, LANES = 4, 32, 64
-#: Small corpora are passed over several times, up to so many words in all; every corpus once at least.
-PASSES, REPEATED = 4, 4_000_000
+WINDOW, LANES = 32, 128
+#: Words of a shard, about, and the most words of one document that go to a shard together.
+SHARD, SEGMENT = 1 << 20, 1 << 12
+#: Step size at the first and the last window of the training.
+FIRST_RATE, LAST_RATE = 0.02, 0.002
+#: Weights are averaged as whole multiples of this, so their sum has no order.
+GRAIN = 2.0**-32
+#: Log share of places in a class that hold no word.
+NONE = -100.0
 SCORE_LANES = 256
 SLICE_BYTES = 8 << 20
 
-_SLICE = "slice_id long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary, kinds binary, counts binary, trained long"
+_SLICE = "slice_id long, ids array<long>, held array<boolean>, lengths binary, tokens binary, vocabulary binary, kinds binary, counts binary, keys binary, trained long"
+_DEALT = "round int, shard long, keys binary, lengths binary, numbers binary"
 
 
 def _kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -65,6 +74,15 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(h), np.concatenate(k).astype(np.uint8), np.concatenate(n)
 
 
+def _keys(ids: pa.Array, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each document's id and words: where its segments go does not depend on the rows beside it."""
+    at = np.cumsum(n) - n
+    within = np.arange(len(h), dtype=np.uint64) - np.repeat(at, n).astype(np.uint64)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(words.mix(h + within * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64))
+    own = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return words.mix(sums[at + n] - sums[at] + words.mix(own))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -74,11 +92,11 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             apart = held.to_numpy(zero_copy_only=False).astype(bool)
             vocabulary, first, tokens = np.unique(h, return_index=True, return_inverse=True)
             counts = np.bincount(tokens, np.repeat(~apart, n), len(vocabulary)).astype(np.int64)
-            binaries = [n.astype(np.int32), tokens.astype(np.uint32), vocabulary, kinds[first], counts]
+            binaries = [n.astype(np.int32), tokens.astype(np.uint32), vocabulary, kinds[first], counts, _keys(batch.column(0).slice(at, to - at), h, n)]
             arrays = [pa.array([number]), pa.array([batch.column(0).slice(at, to - at).to_pylist()], pa.list_(pa.int64())), pa.array([held.to_pylist()], pa.list_(pa.bool_()))]
             arrays += [pa.array([x.tobytes()], pa.binary()) for x in binaries] + [pa.array([int((~apart).sum())])]
             number += 1
-            yield pa.RecordBatch.from_arrays(arrays, ["slice_id", "ids", "held", "lengths", "tokens", "vocabulary", "kinds", "counts", "trained"])
+            yield pa.RecordBatch.from_arrays(arrays, ["slice_id", "ids", "held", "lengths", "tokens", "vocabulary", "kinds", "counts", "keys", "trained"])
 
 
 def _bucketed(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -140,18 +158,24 @@ class Counts:
         return np.where(self.hashes[own] == h, own, VOCABULARY + kinds.astype(np.int64))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    return x - np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+
+
+def _log_share(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at its own place; ``x`` is used up."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= x.sum(1, keepdims=True)
+    """Softmax of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype)
     return x
 
 
@@ -169,7 +193,7 @@ def initial(counts: Counts, seed: int = 5) -> dict[str, np.ndarray]:
     often = np.zeros(VOCABULARY)
     often[: len(counts.often)] = counts.often
     groups = np.concatenate([often.reshape(CLASSES, MEMBERS).sum(1), counts.n, [counts.documents]]) + 0.5
-    members = np.where(np.arange(VOCABULARY) < len(counts.often), np.log(often + 0.5), -1e9).reshape(CLASSES, MEMBERS)
+    members = np.where(np.arange(VOCABULARY) < len(counts.often), np.log(often + 0.5), NONE).reshape(CLASSES, MEMBERS)
     return {
         "x": draw(END + 1, 3 * HIDDEN, scale=0.3), "u": draw(HIDDEN, 3 * HIDDEN, scale=HIDDEN**-0.5),
         "c": draw(HIDDEN, OUTPUTS, scale=0.05), "cb": np.log(groups / groups.sum()).astype(np.float32),
@@ -180,10 +204,19 @@ def initial(counts: Counts, seed: int = 5) -> dict[str, np.ndarray]:
 def step(p: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray):
     """One step of the gated unit for all lanes: (new state, gates and inner values for the way back)."""
     a = h @ p["u"]
-    zr = _sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+    zr = a[:, : 2 * HIDDEN] + x[:, : 2 * HIDDEN]
+    zr *= np.float32(0.5)
+    np.tanh(zr, out=zr)
+    zr += np.float32(1)
+    zr *= np.float32(0.5)
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-    return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
+    n = r * a[:, 2 * HIDDEN :]
+    n += x[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, a[:, 2 * HIDDEN :])
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -243,36 +276,50 @@ def score_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarr
         flat = np.concatenate([target[t, : active[t]] for t in range(at, to)])
         docs = np.concatenate([doc[t, : active[t]] for t in range(at, to)])
         cls = class_of(flat)
-        logp = _log_softmax(s @ p["c"] + p["cb"])[np.arange(len(flat)), cls].astype(np.float64)
+        logp = _log_share(s @ p["c"] + p["cb"], cls).astype(np.float64)
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             rows = order[edges[k] : edges[k + 1]]
             if len(rows):
-                logp[rows] += _log_softmax(s[rows] @ p["m"][k] + p["mb"][k])[np.arange(len(rows)), flat[rows] % MEMBERS]
+                logp[rows] += _log_share(s[rows] @ p["m"][k] + p["mb"][k], flat[rows] % MEMBERS)
         out += np.bincount(docs, logp, len(out))
     return out
 
 
-def train_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarray, rate: float, lanes: int = LANES) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation with Adam steps; the state is carried from window to window."""
+def _stream(tokens: np.ndarray, lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(targets, inputs, starts) of all segments one behind the other, cut into lanes of equal length: steps x lanes, -1 as
+    filling of the last lane. A segment that goes over into the next lane starts there anew."""
+    steps = -(-len(tokens) // max(1, min(lanes, len(tokens) // WINDOW)))
+    wide = -(-len(tokens) // max(1, steps))
+    target, source = np.full(steps * wide, -1, np.int32), np.full(steps * wide, END, np.int32)
+    fresh = np.zeros(steps * wide, bool)
+    target[: len(tokens)] = tokens
+    source[1 : len(tokens)] = tokens[:-1]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    source[starts] = END
+    fresh[starts] = True
+    target, source, fresh = (x.reshape(wide, steps).T.copy() for x in (target, source, fresh))
+    fresh[:1] = True
+    return target, source, fresh
+
+
+def train_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarray, rate: float, lanes: int = LANES, last: float | None = None) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation with Adam steps from size ``rate`` to ``last``; the state is carried from
+    window to window."""
     ends = np.cumsum([v.size for v in p.values()])[:-1]
     flat_p = np.concatenate([v.ravel() for v in p.values()]).astype(np.float32)
     flat_g, m1, m2 = np.empty_like(flat_p), np.zeros_like(flat_p), np.zeros_like(flat_p)
     views = [{k: x.reshape(v.shape) for (k, v), x in zip(p.items(), np.split(flat, ends), strict=True)} for flat in (flat_p, flat_g)]
     p, g = views
-    target, source, doc = _laid_out(tokens, lengths, lanes)
-    fresh = np.ones(target.shape, bool)
-    if len(target):
-        fresh[1:] = doc[1:] != doc[:-1]
-    active = (target >= 0).sum(1)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
+    target, source, fresh = _stream(tokens, lengths, lanes)
+    b = target.shape[1]
+    h = np.zeros((b, HIDDEN), np.float32)
+    shrink = (last or rate) / rate
     for number, at in enumerate(range(0, len(target), WINDOW), 1):
         to = min(len(target), at + WINDOW)
-        b = active[at]  # lanes end one after the other, so the live ones are the first
-        h = h[:b]
-        x = p["x"][source[at:to, :b]]
-        new = [np.flatnonzero(fresh[t, :b]) for t in range(at, to)]
+        x = p["x"].take(source[at:to], 0)
+        new = [np.flatnonzero(row) for row in fresh[at:to]]
         before, zr, n, a = (np.empty((to - at, b, w), np.float32) for w in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
         s = np.empty((to - at, b, HIDDEN), np.float32)
         for i in range(to - at):
@@ -281,7 +328,7 @@ def train_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarr
             h, (z, r, n[i], a[i]) = step(p, x[i], before[i])
             zr[i, :, :HIDDEN], zr[i, :, HIDDEN:], s[i] = z, r, h
         states = s.reshape(-1, HIDDEN)
-        flat = target[at:to, :b].ravel()
+        flat = target[at:to].ravel()
         live = flat >= 0
         weight = np.float32(1 / live.sum())
         cls = np.where(live, class_of(flat), 0)
@@ -323,7 +370,7 @@ def train_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarr
             back[new[i]] = 0
         g["u"][:] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
         da[:, :, 2 * HIDDEN :] = dx
-        inputs = source[at:to, :b].ravel()
+        inputs = source[at:to].ravel()
         order = np.argsort(inputs, kind="stable")
         first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
         g["x"][:] = 0
@@ -331,7 +378,8 @@ def train_tokens(p: dict[str, np.ndarray], tokens: np.ndarray, lengths: np.ndarr
         flat_g *= np.float32(min(1.0, 1.0 / max(float(np.sqrt(flat_g @ flat_g)), 1e-12)))
         m1 += np.float32(0.1) * (flat_g - m1)
         m2 += np.float32(0.01) * (flat_g * flat_g - m2)
-        flat_p -= np.float32(rate / (1 - 0.9**number)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**number)) + np.float32(1e-8))
+        size = rate * shrink ** (at / len(target)) * live.sum() / (WINDOW * b)  # a short window weighs less
+        flat_p -= np.float32(size / (1 - 0.9**number)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**number)) + np.float32(1e-8))
     return p
 
 
@@ -339,44 +387,82 @@ def _with_ends(numbers: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(numbers, np.cumsum(n), END), n + 1
 
 
-def _trainer(state: Broadcast, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, p = state.value
-        learned = 0
+def _segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of these lengths: each segment's document, its number in it, and its length."""
+    parts = -(-lengths // SEGMENT)
+    doc = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return doc, number, np.minimum(SEGMENT, lengths[doc] - number * SEGMENT)
+
+
+def _dealer(state: Broadcast, shards: int, rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = state.value
         for batch in batches:
             for i in range(len(batch)):
-                lengths, tokens, vocabulary, kinds = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int32), (2, np.uint32), (3, np.uint64), (4, np.uint8)))
+                kinds_of = ((1, np.int32), (2, np.uint32), (3, np.uint64), (4, np.uint8), (5, np.uint64))
+                lengths, tokens, vocabulary, kinds, keys = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in kinds_of)
                 own = ~np.array(batch.column(0)[i].as_py(), bool)
                 numbers = counts.numbers(vocabulary, kinds)[tokens[np.repeat(own, lengths)]]
-                numbers, lengths = _with_ends(numbers, lengths[own].astype(np.int64))
-                if len(lengths):
-                    p = train_tokens(p, numbers, lengths, rate)
-                    learned += len(numbers)
-        if learned:
-            w = np.concatenate([v.ravel() for v in p.values()]).astype(np.float64) * learned
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(w), dtype=np.int32)), pa.array(np.append(float(learned), w))], ["i", "w"])
+                numbers, n = _with_ends(numbers, lengths[own].astype(np.int64))
+                doc, part, size = _segments(n)
+                key = words.mix(keys[own][doc] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                shard = (key % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                at = np.cumsum(size) - size
+                size = size[order]
+                edges = np.concatenate(([0], np.cumsum(size)))
+                numbers = numbers[np.repeat(at[order] - edges[:-1], size) + np.arange(len(numbers))].astype(np.uint16)
+                full, first = np.unique(shard[order], return_index=True)
+                to = np.append(first[1:], len(order))
+                columns = [[x[a:b].tobytes() for a, b in zip(first, to, strict=True)] for x in (key[order], size.astype(np.int32))]
+                columns.append([numbers[edges[a] : edges[b]].tobytes() for a, b in zip(first, to, strict=True)])
+                arrays = [pa.array((full % rounds).astype(np.int32)), pa.array(full), *(pa.array(x, pa.binary()) for x in columns)]
+                yield pa.RecordBatch.from_arrays(arrays, ["round", "shard", "keys", "lengths", "numbers"])
+
+    return deal
+
+
+def _trainer(state: Broadcast, rate: float, last: float) -> Callable[[pa.Table], pa.Table]:
+    def train(shard: pa.Table) -> pa.Table:
+        keys, lengths, numbers = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in shard.column(c)]) for c, t in (("keys", np.uint64), ("lengths", np.int32), ("numbers", np.uint16)))
+        order = np.lexsort((lengths, keys))
+        at, size = np.cumsum(lengths, dtype=np.int64) - lengths, lengths[order].astype(np.int64)
+        numbers = numbers[np.repeat(at[order] - (np.cumsum(size) - size), size) + np.arange(len(numbers))]
+        p = train_tokens(state.value, numbers.astype(np.int64), size, rate, last=last)
+        w = np.rint(np.concatenate([v.ravel() for v in p.values()]).astype(np.float64) / GRAIN).astype(np.int64)
+        return pa.table({"i": np.arange(-2, len(w), dtype=np.int32), "w": np.concatenate(([1, len(numbers)], w))})
 
     return train
 
 
-def passes(counts: Counts) -> int:
-    return min(PASSES, max(1, REPEATED // max(1, counts.tokens)))
+def shards_and_rounds(counts: Counts) -> tuple[int, int]:
+    shards = max(1, -(-counts.tokens // SHARD))
+    return shards, int(np.ceil(np.sqrt(shards)))
 
 
 def fit(slices: DataFrame, counts: Counts) -> tuple[dict[str, np.ndarray], int]:
-    """Weights after ``passes`` over the training documents of all ``slices``, and how many words and ends were learned.
-    In a pass each slice is in one round; a round's shards are the partitions of its slices, averaged by the words they learned."""
-    p, learned, turns = initial(counts), 0, ROUNDS * passes(counts)
+    """Weights after one pass over the training documents of all ``slices``, and how many words and ends were learned."""
+    spark = slices.sparkSession
+    shards, rounds = shards_and_rounds(counts)
+    p, learned = initial(counts), 0
     sizes = np.cumsum([v.size for v in p.values()])
-    for turn in range(turns):
-        rate = 0.01 * 0.5 ** (4 * turn / turns)
-        own = slices.filter(F.pmod(F.xxhash64("slice_id"), F.lit(ROUNDS)) == turn % ROUNDS).select("held", "lengths", "tokens", "vocabulary", "kinds")
-        state = slices.sparkSession.sparkContext.broadcast((counts, p))
-        # Place -1 is the number of words; a row for each weight goes to the driver, whatever the number of shards.
-        sums = own.mapInArrow(_trainer(state, rate), "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).toPandas().sort_values("i")["w"].to_numpy()
+    dealer = _dealer(spark.sparkContext.broadcast(counts), shards, rounds)
+    dealt = slices.select("held", "lengths", "tokens", "vocabulary", "kinds", "keys").mapInArrow(dealer, _DEALT)
+    folder = shared_folder(spark, "shards")
+    dealt.repartition("round", F.col("shard") % 8).write.partitionBy("round").parquet(folder)
+    shrink = LAST_RATE / FIRST_RATE
+    for turn in range(rounds):
+        rates = [FIRST_RATE * shrink ** ((turn + x) / rounds) for x in (0, 1)]
+        own = spark.read.schema(_DEALT).parquet(folder).filter(F.col("round") == turn).select("shard", "keys", "lengths", "numbers")
+        state = spark.sparkContext.broadcast(p)
+        # Place -2 is the number of shards, -1 that of words; a row for each weight goes to the driver, whatever the number of shards.
+        sums = own.groupBy("shard").applyInArrow(_trainer(state, *rates), "i int, w long").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
+        state.unpersist()
         if len(sums):
-            learned += int(sums[0])
-            p = {k: w.reshape(v.shape) for (k, v), w in zip(p.items(), np.split((sums[1:] / sums[0]).astype(np.float32), sizes[:-1]), strict=True)}
+            w = sums["w"].to_numpy()[np.argsort(sums["i"].to_numpy())]
+            learned += int(w[1])
+            p = {k: x.reshape(v.shape) for (k, v), x in zip(p.items(), np.split((w[2:] * (GRAIN / w[0])).astype(np.float32), sizes[:-1]), strict=True)}
     return p, learned
 
 
