@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``LIMIT`` tokens; only longer ones are cut, and then the first
 piece takes the remainder. The driver sees the histogram of piece lengths alone (at most ``LIMIT``
-rows). It enumerates patterns of up to three lengths that fill a sequence exactly, fits their repeat
-counts to the histogram by non-negative least squares, rounds down to what the histogram
+rows). It enumerates patterns of lengths that occur (up to three pieces that fill a sequence exactly; where the lengths
+are few, up to ``PIECES`` pieces and with some waste, too; at most ``PATTERNS`` at a time), fits their repeat counts to the histogram by non-negative least squares, rounds down to what the histogram
 holds, and packs the residual lengths best-fit decreasing. Pieces of one length are interchangeable:
 each gets a rank within its length (ranked in salted slices, so that a length which holds a third
 of all rows is many small groups), and its rank leads to its sequence and offset.
@@ -29,6 +29,8 @@ from linkloom.llm.common import stored
 LIMIT = 1024
 END_ID = 2
 KEPT_WORDS = 500_000
+#: Most patterns fitted together, and most pieces of a pattern.
+PATTERNS, PIECES = 5_500, 8
 #: Where a text may not be cut at every blank, it is encoded as a whole.
 _ODD_BLANKS = re.compile(r"\s \s|\s $")
 
@@ -116,24 +118,45 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     return found.select(key, "p.*")
 
 
-def exact_patterns(limit: int, stride: int = 16) -> np.ndarray:
-    """Few-document patterns that fill ``limit``, lengths ascending, unused places 0: the full length,
-    all pairs, and every ``stride``-th triple, so that the fitted repeats stay well above one."""
+def exact_patterns(limit: int, occurs: np.ndarray, most: int = PATTERNS) -> np.ndarray:
+    """Patterns of up to three lengths that occur and together fill ``limit``, lengths ascending, unused places 0: the full
+    length, all pairs, and all triples; only where there are more than ``most``, every n-th triple of them."""
     a, b = np.meshgrid(np.arange(0, limit // 3 + 1), np.arange(0, limit + 1), indexing="ij")
     c = limit - a - b
-    good = (b >= a) & (c >= b) & ((a == 0) | ((a * 7 + b * 3) % stride == 0))
+    known = occurs.copy()
+    known[0] = True
+    good = (b >= a) & (c >= b) & known[a] & known[b] & known[np.maximum(c, 0)]
+    stride = max(1, -(-int((good & (a > 0)).sum()) // most))
+    good &= (a == 0) | ((a * 7 + b * 3) % stride == 0)
     return np.stack([a[good], b[good], c[good]], 1)
 
 
+def filled_patterns(lengths: list[int], low: int, limit: int, most: int = PATTERNS) -> np.ndarray | None:
+    """All patterns of up to ``PIECES`` of the lengths (descending) that fill ``low`` to ``limit``; unused places are 0.
+    None where there are more than ``most``, or the search for them takes more than sixteen times as many steps."""
+    out: list[tuple[int, ...]] = []
+    steps, stack = 0, [((), 0, 0)]
+    while stack:
+        pattern, total, at = stack.pop()
+        steps += 1
+        if total >= low:
+            out.append(pattern)
+        if len(out) > most or steps > 16 * most:
+            return None
+        if len(pattern) < PIECES:
+            stack += [((*pattern, n), total + n, i) for i, n in enumerate(lengths[at:], at) if total + n <= limit]
+    return np.array([p + (0,) * (PIECES - len(p)) for p in out], np.int64).reshape(-1, PIECES)
+
+
 def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1500) -> np.ndarray:
     """Non-negative least squares of pattern counts against the histogram (index: length), by
-    accelerated projected gradients; a pattern's column has at most three entries, so a step is a
+    accelerated projected gradients; a pattern's column has few entries, so a step is a
     gather and a bincount."""
     b = histogram.astype(float).copy()
     b[0] = 0
 
     def times(y: np.ndarray) -> np.ndarray:
-        out = sum(np.bincount(patterns[:, i], y, len(b)) for i in range(3))
+        out = sum(np.bincount(patterns[:, i], y, len(b)) for i in range(patterns.shape[1]))
         out[0] = 0
         return out
 
@@ -176,10 +199,15 @@ def plan(histogram: dict[int, int], limit: int = LIMIT) -> Plan:
     counts = np.zeros(limit + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    patterns = exact_patterns(limit)
-    patterns = patterns[((counts[patterns] > 0) | (patterns == 0)).all(1)]
-    repeats = fit_repeats(patterns, counts) if len(patterns) else np.zeros(0)
-    tried = (_rounded(counts, patterns, f(repeats), limit) for f in (np.round, np.floor, lambda x: np.floor(0.8 * x), lambda x: np.floor(0.5 * x), lambda x: np.floor(0.2 * x)))
+    sets = [exact_patterns(limit, counts > 0)]
+    lengths = np.flatnonzero(counts[:limit])[::-1].tolist()
+    # Few lengths seldom fill a sequence exactly: then patterns of more pieces and with some waste.
+    sets += [found for waste in (0, limit // 64, limit // 16, limit // 4) if (found := filled_patterns(lengths, limit - waste, limit)) is not None]
+    roundings = (np.round, np.floor, lambda x: np.floor(0.8 * x), lambda x: np.floor(0.5 * x), lambda x: np.floor(0.2 * x))
+    tried = []
+    for patterns in sets:
+        repeats = fit_repeats(patterns, counts) if len(patterns) else np.zeros(0)
+        tried += [_rounded(counts, patterns, f(repeats), limit) for f in (roundings if len(patterns) else roundings[:1])]
     return min(tried, key=lambda p: p.sequences)
 
 

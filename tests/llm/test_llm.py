@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -367,6 +368,52 @@ def test_plan_is_tight_and_complete(seed):
     assert len(set(s)) == plan.sequences <= least * 1.02 + 1
 
 
+def fewest_sequences(histogram, limit=1024):
+    """Exact number of sequences for a small histogram: over what is left, fill the largest piece's sequence in every way."""
+    lengths = sorted(histogram, reverse=True)
+
+    @functools.cache
+    def least(left):
+        first = next((i for i, n in enumerate(left) if n), None)
+        if first is None:
+            return 0
+        best = math.inf
+
+        def fill(i, now, room):
+            nonlocal best
+            if i == len(lengths):
+                best = min(best, 1 + least(now))
+                return
+            for q in range(min(now[i], room // lengths[i]), -1, -1):
+                fill(i + 1, (*now[:i], now[i] - q, *now[i + 1 :]), room - q * lengths[i])
+
+        fill(first, tuple(n - (i == first) for i, n in enumerate(left)), limit - lengths[first])
+        return best
+
+    return least(tuple(histogram[n] for n in lengths))
+
+
+def test_plan_takes_patterns_of_the_lengths_that_occur():
+    assert packing.plan({250: 1000, 370: 1000, 404: 1000}).sequences == 1000
+    assert packing.plan(dict.fromkeys((151, 207, 208, 242, 580, 586), 1700)).sequences == 3400  # 580 and 586 share none
+    for lengths in ((90, 200, 430), (300, 341, 500, 512), (130, 260, 390, 700)):
+        small = dict(zip(lengths, (7, 6, 5, 4), strict=False))
+        best = fewest_sequences(small)
+        assert best <= packing.plan(small).sequences <= best + 1
+        many = packing.plan({k: 200 * n for k, n in small.items()}).sequences
+        assert many <= 1.02 * 200 * best + 1
+
+
+def test_patterns_are_all_or_thinned():
+    occurs = np.zeros(1025, bool)
+    occurs[[250, 370, 404, 512, 1024]] = True
+    assert sorted(map(tuple, packing.exact_patterns(1024, occurs).tolist())) == [(0, 0, 1024), (0, 512, 512), (250, 370, 404)]
+    assert len(packing.exact_patterns(1024, np.ones(1025, bool))) < 1.2 * packing.PATTERNS
+    found = packing.filled_patterns([512, 256], 1024, 1024)
+    assert sorted(tuple(x for x in p if x) for p in found.tolist()) == [(256,) * 4, (512, 256, 256), (512, 512)]
+    assert packing.filled_patterns(list(range(1023, 0, -1)), 1024, 1024) is None
+
+
 def brute_repeats(docs):
     """Words in spans at several places, and the words under a later one (not those under its own first one)."""
     places = collections.defaultdict(list)
