@@ -24,6 +24,7 @@ def process_in_batches(
 ) -> int:
     """Run ``transform`` over all files not processed yet; returns the batches run.
 
+    ``source`` is a folder, whose own folders count too, or a single file; ``glob`` holds for the files' names.
     A stream of file names deals the files to batches, and its checkpoint remembers the finished ones: a
     restart goes on where the last run stopped. Each batch writes a folder of its own under ``out``, named
     by its number, and writes it anew when it is repeated, so nothing is lost or doubled. A batch that
@@ -34,7 +35,7 @@ def process_in_batches(
     # Only the listing is used: the column with the files' content is never read.
     listing = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(listing).option("maxFilesPerTrigger", files_per_batch)
-    names = files.option("pathGlobFilter", glob).load(source).select("path")
+    names = files.option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(source).select("path")
     finished: list[int] = []
 
     def run(batch: DataFrame, number: int) -> None:

@@ -40,7 +40,7 @@ def a1_key(t: Tables):
 
 @query("a2_list_inputs", "SELECT 1 AS n_files, count(*) AS n_rows FROM pages")
 def a2(t: Tables):
-    pages = readers.read_listed(t.spark, t.folder, "pages.parquet", schemas.PAGES, exclude=["known-bad-file"])
+    pages = readers.read_listed(t.spark, t.path("pages"), "*.parquet", schemas.PAGES, exclude=["known-bad-file"])
     return readers.manifest(pages).agg(F.count("*").cast("int").alias("n_files"), F.sum("n_rows").alias("n_rows"))
 
 
@@ -52,7 +52,7 @@ def a3(t: Tables):
     out, checkpoint = t.scratch("batches"), t.scratch("batches-checkpoint")
     links = lambda df: df.select("url", F.explode(H.page_links("html", "^/")).alias("href"))
     for _ in range(2):  # the second run finds nothing left to do
-        process_in_batches(t.spark, t.folder, schemas.PAGES, links, out, checkpoint, 1, "pages.parquet")
+        process_in_batches(t.spark, t.path("pages"), schemas.PAGES, links, out, checkpoint, 1)
     return read_processed(t.spark, out, links(t("pages")).schema)
 
 

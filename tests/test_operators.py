@@ -216,6 +216,17 @@ def test_batches_set_broken_files_aside(spark, tmp_path):
     assert run() == 1 and read_processed(spark, out, kind).count() == 610
 
 
+def test_tables_of_many_files(spark, tmp_path):
+    from queries import QUERIES
+
+    rows = [(i, f"http://a.example/{i}", f'<a href="/x{i}">x</a><a href="y">y</a>') for i in range(30)]
+    pages = spark.createDataFrame(rows, schemas.PAGES)
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    links = QUERIES["a3_process_in_batches"](spark, str(tmp_path))
+    assert sorted(r.href for r in links.collect()) == sorted(f"/x{i}" for i in range(30))
+    assert QUERIES["a2_list_inputs"](spark, str(tmp_path)).head()[:] == (3, 30)
+
+
 def test_schema_check(spark):
     good = spark.createDataFrame([(1, "u", "h")], schemas.PAGES)
     assert schemas.check_schema(good, schemas.PAGES) is good
