@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pandas as pd
 import pytest
@@ -227,6 +229,88 @@ def test_tables_of_many_files(spark, tmp_path):
     assert QUERIES["a2_list_inputs"](spark, str(tmp_path)).head()[:] == (3, 30)
 
 
+def term_totals(rows, stop, low, high):
+    """(id, term) -> n by brute force."""
+    found = {}
+    for unit, text in rows:
+        words = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w not in stop]
+        for n in range(low, high + 1):
+            for i in range(len(words) - n + 1):
+                key = unit, " ".join(words[i : i + n])
+                found[key] = found.get(key, 0) + 1
+    return found
+
+
+def texts_with_ties(seed, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(25)], k=rng.randint(0, 12))) for _ in range(n)]
+    return [(rng.choice([1, 2, 3, 4, 5, None]), rng.choice([t, t, t, t, None])) for t in texts]
+
+
+@pytest.mark.parametrize("size, grams", [(3, (1, 2)), (9, (1, 2)), (17, (1, 3)), (40, (2, 3)), (1000, (1, 2))])
+def test_top_terms_are_pruned_exactly(spark, size, grams):
+    rows = texts_with_ties(size)
+    df = spark.createDataFrame(rows, "g int, t string")
+    want = term_totals(rows, ["w0"], *grams)
+    totals = {}
+    for (_, term), n in want.items():
+        totals[term] = totals.get(term, 0) + n
+    top = {t for t, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:size]}
+    got = {(r.g, r.term): r.n for r in K.bag_of_words(df, ["g"], "t", size, ["w0"], grams).collect()}
+    assert got == {k: n for k, n in want.items() if k[1] in top}
+    counted = {(r.g, r.term): r.n for r in K._frequent_counts(df, ["g"], "t", size, ["w0"], grams).collect()}
+    assert got.items() <= counted.items() <= want.items()
+    if size < 40:
+        assert len(counted) < len(want)
+
+
+def test_bag_of_words_shuffles_kept_terms_only(spark):
+    df = spark.createDataFrame(texts_with_ties(1), "g int, t string")
+    plan = K.bag_of_words(df, ["g"], "t", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Aggregate [g#") < plan.index("Join LeftSemi")
+
+
+@pytest.mark.parametrize("broadcast", [0, 4, 1000])
+def test_tf_idf_of_rare_terms(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(K, "BROADCAST_TERMS", broadcast)
+    rows = texts_with_ties(2)
+    counts = term_totals(rows, [], 1, 2)
+    per_term = {}
+    for _, term in counts:
+        per_term[term] = per_term.get(term, 0) + 1
+    weights = {k: n * (math.log((1 + len(rows)) / (1 + per_term[k[1]])) + 1) for k, n in counts.items()}
+    norms = {}
+    for (unit, _), w in weights.items():
+        norms[unit] = norms.get(unit, 0.0) + w * w
+    got = K.document_tf_idf(spark.createDataFrame(rows, "g int, t string"), ["g"], "t", ngram_range=(1, 2))
+    assert {(r.g, r.term): r.weight for r in got.collect()} == pytest.approx({k: w / math.sqrt(norms[k[0]]) for k, w in weights.items()})
+
+
+@pytest.mark.parametrize("broadcast", [0, 4, 1000])
+def test_naive_bayes_of_rare_terms(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(K, "BROADCAST_TERMS", broadcast)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("abc"), t) for i, (_, t) in enumerate(texts_with_ties(3))]
+    df = spark.createDataFrame(rows, "i int, c string, t string")
+    train = [(c, t) for i, c, t in rows if i % 4]
+    seen = term_totals(train, [], 1, 1)
+    vocabulary = {t for _, t in seen}
+    totals = {c: sum(n for (k, _), n in seen.items() if k == c) for c in "abc"}
+    want = {}
+    for i, _, text in rows:
+        words = [w for w in re.findall(r"\w{2,}", text or "") if w in vocabulary]
+        if i % 4 == 0 and words:
+            score = lambda c: math.log(sum(k == c for k, _ in train) / len(train)) + sum(
+                math.log((seen.get((c, w), 0) + 1) / (totals[c] + len(vocabulary))) for w in words
+            )
+            want[i] = max("abc", key=lambda c: (round(score(c), 9), c))
+    counts = K.term_counts(df, ["i"], "t", together=["i"])
+    model = K.fit_naive_bayes_counts(counts.filter("i % 4 > 0"), df.filter("i % 4 > 0"), "i", "c")
+    got = K.predict_naive_bayes_counts(counts.filter("i % 4 = 0"), model, "i", "c")
+    assert {r.i: r.predicted for r in got.collect()} == want
+
+
 def test_schema_check(spark):
     good = spark.createDataFrame([(1, "u", "h")], schemas.PAGES)
     assert schemas.check_schema(good, schemas.PAGES) is good
