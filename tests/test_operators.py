@@ -311,6 +311,20 @@ def test_naive_bayes_of_rare_terms(spark, monkeypatch, broadcast):
     assert {r.i: r.predicted for r in got.collect()} == want
 
 
+def test_profiles_take_texts_apart_once(spark):
+    rows = [(g and "abc"[g % 3], t) for g, t in texts_with_ties(4)]
+    profiles = K.learn_profiles(spark.createDataFrame(rows, "lang string, t string"), "lang", "t", 5)
+    # The plan begins at the counts, which several steps read.
+    assert "regexp_extract_all" not in profiles._jdf.queryExecution().optimizedPlan().toString()
+    counts = term_totals([r for r in rows if r[0]], [], 1, 1)
+    for lang in "abc":
+        total = sum(n for (k, _), n in counts.items() if k == lang)
+        best = sorted(((t, n / total) for (k, t), n in counts.items() if k == lang), key=lambda x: (-x[1], x[0]))[:5]
+        got = profiles.filter(F.col("lang") == lang).orderBy(F.desc("weight"), "term").collect()
+        assert [r.term for r in got] == [t for t, _ in best]
+        assert [r.weight for r in got] == pytest.approx([w for _, w in best])
+
+
 def test_schema_check(spark):
     good = spark.createDataFrame([(1, "u", "h")], schemas.PAGES)
     assert schemas.check_schema(good, schemas.PAGES) is good
