@@ -213,13 +213,15 @@ def remove(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     own = docs.withColumns({"__own": _row_id("doc_id", digest), "__text": digest})
     out = own.join(found, (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__t")), "left")
+    # Rows with equal id and text stay once; there are few of them, so all others pass by.
+    equal = F.coalesce("__equal", F.lit(False))
+    out = out.filter(~equal).unionByName(out.filter(equal).dropDuplicates(["__own", "__text"]))
     cut = F.size("__removed") > 0  # null where nothing was found
-    out = out.withColumn("text", F.when(cut, F.arrow_udf(_cut, "string")(F.col("text"), F.col("__removed"))).otherwise(F.col("text")))
+    # Called nondeterministic, as Spark would cut each text once for the filter below and again for the result.
+    once = F.arrow_udf(_cut, "string").asNondeterministic()
+    out = out.withColumn("text", F.when(cut, once(F.col("text"), F.col("__removed"))).otherwise(F.col("text")))
     out = out.filter(F.coalesce(~cut, F.lit(True)) | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(cut, n).otherwise(F.col("n_chars")))
-    # Rows with equal id and text stay once; there are few of them, so all others pass by.
-    equal = F.coalesce("__equal", F.lit(False))
-    out = out.filter(~equal).unionByName(out.filter(equal).dropDuplicates(["__own", "__text"]))
     return out.select(*docs.columns)

@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -490,6 +491,16 @@ def test_repeated_rows_stay_once(spark):
     assert spans_in_two([r["text"] for r in repeats.remove(nameless).collect()]) == 0
 
 
+def test_repeats_cut_each_text_once(spark):
+    """One Python step in the plan: two in a row would double the workers that an executor holds, and the work."""
+    shared = prose(31, 80)
+    docs = spark.createDataFrame([(1, shared + " a", 0), (2, "b " + shared, 0), (2, "b " + shared, 0), (3, shared, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
+    out = repeats.remove(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, shared + " a", 0), (2, "b ", 2), (4, None, 0)]
+
+
 def test_repeats_messy(messy, empty):
     assert repeats.query(messy).count() and repeats.query(empty).count() == 0
     assert repeats.remove(messy).columns == messy.columns and repeats.remove(empty).count() == 0
@@ -602,6 +613,31 @@ def test_warc(spark, tmp_path):
     assert warc.query(pages.filter("false")).count() == 0
 
 
+def test_word_hashes_in_blocks(monkeypatch):
+    """Equal hashes wherever a block begins; memory beside the text that does not grow with it as 8-byte sums do."""
+    import pyarrow as pa
+
+    from linkloom.llm.common import utf8
+
+    texts = [prose(41, 300), "", None, "x" * 700 + " " + prose(42, 50), " ", prose(43, 200) + "\n"]
+    whole = words.word_hashes(*utf8(pa.array(texts)))
+    monkeypatch.setattr(words, "_BLOCK", 64)
+    for one, other in zip(whole, words.word_hashes(*utf8(pa.array(texts))), strict=True):
+        assert np.array_equal(one, other)
+    monkeypatch.undo()
+    single = [words.word_hashes(*utf8_of(w))[0][0] for t in texts for w in (t or "").split()]
+    assert whole[0].tolist() == single
+
+    data, offsets = utf8_of(" ".join([prose(44, 20_000)] * 60))
+    words.word_hashes(data, offsets)
+    tracemalloc.start()
+    words.word_hashes(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(data)
+    assert sum(x.nbytes for x in words._tables(1)) <= 1 << 23
+
+
 def test_word_hashes():
     import pyarrow as pa
 
