@@ -37,8 +37,9 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def pieces(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string array with at most ``limit`` bytes each, longer single rows alone."""
+def pieces(array: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string array with at most ``limit`` bytes each, longer single rows alone. After the last one
+    Arrow gives memory that it no longer needs back to the system, as workers live from stage to stage."""
     sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at = 0
@@ -47,6 +48,7 @@ def pieces(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

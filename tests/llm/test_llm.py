@@ -613,6 +613,18 @@ def test_warc(spark, tmp_path):
     assert warc.query(pages.filter("false")).count() == 0
 
 
+def test_pieces_are_small():
+    """Rows in order, none twice; at most 256 KB at once, or one longer row."""
+    import pyarrow as pa
+
+    from linkloom.llm.common import pieces
+
+    sizes = [100_000, 100_000, None, 100_000, 0, 600_000, 5, 5]
+    ranges = list(pieces(pa.array([None if n is None else "x" * n for n in sizes])))
+    assert ranges == [(0, 3), (3, 5), (5, 6), (6, 8)]
+    assert list(pieces(pa.array([], pa.string()))) == []
+
+
 def test_word_hashes_in_blocks(monkeypatch):
     """Equal hashes wherever a block begins; memory beside the text that does not grow with it as 8-byte sums do."""
     import pyarrow as pa
